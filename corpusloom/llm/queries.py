@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import decontam, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": warc.op7_warc,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op7_warc": warc.OP7_SQL,
+    "op10_decontamination": decontam.OP10_SQL,
 }

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, warc
+from . import decontam, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op7_warc": warc.op7_warc,
     "op10_decontamination": decontam.op10_decontamination,
 }

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash, warc
+from . import decontam, minhash, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_minhash": minhash.op2_minhash,
     "op7_warc": warc.op7_warc,
     "op10_decontamination": decontam.op10_decontamination,
 }

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, simhash, warc
+from . import decontam, minhash, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_minhash": minhash.op2_minhash,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op7_warc": warc.op7_warc,
     "op10_decontamination": decontam.op10_decontamination,
 }

@@ -32,11 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and its shuffles can go."""
+def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends there, and its shuffles can go.
+
+    A slim table (a few numbers a row) is written by two tasks a core, not one file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

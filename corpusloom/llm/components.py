@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(src, dst).alias("child"), F.least(src, dst).alias("parent")).filter("child <> parent").distinct()
-    now = materialize(pairs, "cc")
+    now = materialize(pairs, "cc", slim=True)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "parent") % 1000003)).first())
     seen = mark(now)
     while True:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = F.min("parent").over(Window.partitionBy("child"))
         both = F.explode(F.array(F.col("child"), F.col("parent")))
         small = large.select("child", "parent", low.alias("low")).select(both.alias("child"), F.col("low").alias("parent"))
-        after = materialize(small.filter("child <> parent").distinct(), "cc")
+        after = materialize(small.filter("child <> parent").distinct(), "cc", slim=True)
         discard(now)
         free_shuffles(spark)
         now, before = after, seen

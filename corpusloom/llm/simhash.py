@@ -185,7 +185,7 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     entries = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)))
     rows = nodes.select("fp", F.explode(entries).alias("e")).select("e.t", "e.key", "fp")
     edges = link_buckets(rows, radius)
-    large = materialize(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET), "large-buckets")
+    large = materialize(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET), "large-buckets", slim=True)
     if large.isEmpty():
         return edges
     rows = rows.join(large, ["t", "key"])
@@ -196,13 +196,13 @@ def group_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
     prints = materialize(with_fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes", slim=True)
     free_shuffles(spark)
     roots = connected_components(link_fingerprints(nodes, radius))
     free_shuffles(spark)
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("far"))
     lowest = linked.filter("far").groupBy("root").agg(F.min("low").alias("least"))
-    groups = materialize(linked.filter("far or n > 1").join(lowest, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "groups")
+    groups = materialize(linked.filter("far or n > 1").join(lowest, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "groups", slim=True)
     free_shuffles(spark)
     joined = salted_left_join(prints, groups, "fp", hot_keys(prints, "fp"), spread=F.xxhash64("doc_id"))
     return joined.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, simhash, substring, toxicity, warc
+from . import decontam, lm, minhash, simhash, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_minhash": minhash.op2_minhash,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op7_warc": warc.op7_warc,
     "op8_substring": substring.op8_substring,
     "op10_decontamination": decontam.op10_decontamination,

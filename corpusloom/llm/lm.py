@@ -34,7 +34,7 @@ from .toxicity import remainder
 
 ORDER = 3
 #: Weight of the next shorter state, in counts, for orders two and up.
-PRIOR = {2: 5.0, 3: 3.0}
+PRIOR = {2: 5000.0, 3: 3.0}
 #: Bytes of text in a block; bytes of text of all blocks for each shard of the hash range.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
 END, START = np.uint64(1), np.uint64(2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, minhash, simhash, sitetree, substring, toxicity, warc
+from . import decontam, lm, minhash, mixing, simhash, sitetree, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": sitetree.op6_html,
     "op7_warc": warc.op7_warc,
     "op8_substring": substring.op8_substring,
+    "op9_mixing": mixing.op9_mixing,
     "op10_decontamination": decontam.op10_decontamination,
 }
 

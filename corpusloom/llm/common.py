@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -10,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Session setting of Spark: remove the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes A-Z to a-z; every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -39,7 +40,13 @@ def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
+    # the files of this write's shuffles go as soon as it ends; nothing else runs this plan again
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(2 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out
@@ -55,12 +62,6 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bytes_of(column) -> list:
     """The UTF-8 bytes of an Arrow string column, None for nulls, without decoding."""
     import pyarrow as pa

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,7 +28,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         small = large.select("child", "parent", low.alias("low")).select(both.alias("child"), F.col("low").alias("parent"))
         after = materialize(small.filter("child <> parent").distinct(), "cc", slim=True)
         discard(now)
-        free_shuffles(spark)
         now, before = after, seen
         seen = mark(now)
         if seen == before:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, free_shuffles, materialize, table
+from .common import LOWER, bytes_of, materialize, table
 from .minhash import mix
 from .toxicity import remainder
 
@@ -37,6 +37,8 @@ ORDER = 3
 PRIOR = {2: 5000.0, 3: 3.0}
 #: Bytes of text in a block; bytes of text of all blocks for each shard of the hash range.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+#: Bits of an n-gram's hash that travel: enough to keep 1e10 n-grams apart but for one in 1e7.
+KEY_BITS = 56
 END, START = np.uint64(1), np.uint64(2)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,15 +66,15 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.left = np.arange(len(stream)) - np.repeat(self.starts, self.sizes)
         learn = np.repeat(np.array(train, bool), self.sizes)
-        one = np.uint64(1)
-        gram = mix(stream + _BASE) & ~one
+        gram = mix(stream + _BASE)
         self.order, self.at, keys = order, [None], []
         for n in range(1, order + 1):
             if n > 1:
-                gram = np.concatenate([gram[:1], mix(gram[:-1] * _BASE + stream[1:] + np.uint64(n)) & ~one])
+                gram = np.concatenate([gram[:1], mix(gram[:-1] * _BASE + stream[1:] + np.uint64(n))])
             at = np.flatnonzero(self.left >= n - 1)
             self.at.append(at)
-            keys.append(gram[at] | (self.left > 0).astype(np.uint64) if n == 1 else gram[at])
+            key = gram[at] >> np.uint64(64 - KEY_BITS) & ~np.uint64(1)
+            keys.append(key | (self.left > 0).astype(np.uint64) if n == 1 else key)
         self.keys = np.concatenate(keys)
         self.learn = np.concatenate([learn[at] for at in self.at[1:]])
 
@@ -188,7 +190,7 @@ COUNTS = "block bigint, shard int, counts binary, tokens bigint, types bigint, o
 
 def send_grams(blocks: DataFrame, shards: int) -> DataFrame:
     """For each block and shard, the distinct n-grams of the block that belong there, and their training counts."""
-    cuts = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    cuts = np.array([(i << KEY_BITS) // shards for i in range(1, shards)], np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -236,7 +238,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     blocks = materialize(pack_blocks(docs), "blocks")
     shards = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
     counts = materialize(send_grams(blocks, shards).groupBy("shard").applyInArrow(sum_shard, COUNTS), "counts")
-    free_shuffles(spark)
     sums = counts.filter("block IS NULL").agg(*(F.sum(x) for x in ("tokens", "types", "once", "twice"))).first()
     stats = Statistics(*(x or 0 for x in sums))
 

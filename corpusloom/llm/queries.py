@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, minhash, mixing, simhash, sitetree, substring, toxicity, warc
+from . import decontam, licences, lm, minhash, mixing, simhash, sitetree, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_minhash": minhash.op2_minhash,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_lm_scoring": lm.op4_lm_scoring,
+    "op5_licences": licences.op5_licences,
     "op6_html": sitetree.op6_html,
     "op7_warc": warc.op7_warc,
     "op8_substring": substring.op8_substring,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, free_shuffles, hot_keys, materialize, salted_left_join, table
+from .common import LOWER, bytes_of, hot_keys, materialize, salted_left_join, table
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -197,13 +197,10 @@ def group_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     spark = docs.sparkSession
     prints = materialize(with_fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes", slim=True)
-    free_shuffles(spark)
     roots = connected_components(link_fingerprints(nodes, radius))
-    free_shuffles(spark)
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("far"))
     lowest = linked.filter("far").groupBy("root").agg(F.min("low").alias("least"))
     groups = materialize(linked.filter("far or n > 1").join(lowest, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "groups", slim=True)
-    free_shuffles(spark)
     joined = salted_left_join(prints, groups, "fp", hot_keys(prints, "fp"), spread=F.xxhash64("doc_id"))
     return joined.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, free_shuffles, hot_keys, materialize, salted_left_join, table
+from .common import bytes_of, hot_keys, materialize, salted_left_join, table
 from .fmindex import FMIndex
 from .minhash import mix
 
@@ -193,7 +193,6 @@ def search_shards(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
 
     found = materialize(texts.mapInArrow(fetch, "route bigint, anchor bigint, body bigint, copies bigint, first int, words binary"), "segments")
-    free_shuffles(spark)
     n = max(1, -(-found.count() // SHARD))
 
     def look(block: pa.Table) -> pa.Table:
@@ -216,11 +215,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     distinct = every.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), one)
     known = distinct.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).filter(F.col("all") > 1)
     both = materialize(distinct.join(known, "anchor").select("anchor", "body", "copies", "one.*", "kinds"), "repeated", slim=True)
-    free_shuffles(spark)
     wanted = both.filter("kinds > 1").select("anchor", "body", "copies", "row", "first", "windows", (F.col("kinds") > HOT).alias("hot"))
     alike = both.filter("kinds = 1").select("anchor", "body", F.expr("shiftleft(1L, windows) - 1").alias("mask"))
     seen = materialize(alike.unionByName(search_shards(wanted, docs, length)), "masks", slim=True)
-    free_shuffles(spark)
     keyed = lambda df: df.withColumn("segment", F.xxhash64("anchor", "body"))
     left = keyed(every).select("segment", F.col("anchor").alias("a"), F.col("body").alias("b"), "row", "first")
     joined = salted_left_join(left, keyed(seen), "segment", hot_keys(left, "segment", 256), spread=F.col("row"))

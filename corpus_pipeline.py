@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontam, mixing, simhash, substring, toxicity
-from corpusloom.llm.common import free_shuffles, materialize, table
+from corpusloom.llm.common import materialize, table
 
 #: The last stage mixes what is left: prose and rough text.
 PIPELINE_DOMAINS = {"prose": "quality = 1", "rough": "quality = 0"}
@@ -48,5 +48,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

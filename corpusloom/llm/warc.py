@@ -164,8 +164,10 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: s
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    small = rows.filter(F.octet_length("payload") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r[0]) for r in small.select("payload").collect() if r[0]]))
+    # the sample is drawn by number first, so that only its own payloads travel
+    drawn = rows.filter(F.octet_length("payload").between(1, SAMPLE_BYTES)).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    small = rows.join(F.broadcast(drawn), "page_id").filter(F.octet_length("payload").between(1, SAMPLE_BYTES)).groupBy("page_id").agg(F.min("payload").alias("payload"))
+    dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r[1]) for r in sorted(small.collect())]))
     rows = rows.withColumn("digest", F.sha1("payload"))
     stored = F.when(F.octet_length("payload") >= LEAST_REVISIT_BYTES, F.col("digest"))
     keys = rows.select("page_id", stored.alias("stored"))

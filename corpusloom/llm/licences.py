@@ -147,17 +147,20 @@ def grams(paragraph):
     """Distinct n-grams of one to GRAMS words."""
     words = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
     runs = [words]
+    joined = lambda n: lambda i: F.array_join(F.slice(words, i, n), " ")
     for n in range(2, GRAMS + 1):
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        runs.append(F.transform(at, joined(n)))
     return F.array_distinct(F.concat(*runs))
 
 
 def train(docs: DataFrame, size: int = SAMPLE) -> Model:
     """The model, with other paragraphs from the documents whose doc_id hashes lowest (one paragraph each)."""
-    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id"), F.element_at(paragraphs(F.col("text")), 1).alias("p"))
-    rows = rows.filter(F.col("p").isNotNull() & ~is_candidate(F.col("p")) & (F.length("p") < 4000))
-    return Model(sorted(r[0] for r in rows.orderBy("h", "doc_id", "p").limit(size).select("p").collect()))
+    # the sample is drawn by number first, so that only its own texts travel
+    drawn = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = rows.select(F.try_element_at(paragraphs(F.col("text")), F.lit(1)).alias("p"))
+    return Model(sorted(r[0] for r in rows.filter(F.col("p").isNotNull() & ~is_candidate(F.col("p")) & (F.length("p") < 4000)).collect()))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:

@@ -171,15 +171,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     blocks = list(phrase_blocks(benchmark, window))
     columns = docs.columns
     if len(blocks) > 1:
-        spans = materialize(find_contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), "spans", (F.col("n_hit") == F.col("n_words")).alias("_all")), "spans")
-        docs = docs.join(spans, docs["doc_id"] == spans["_id"], "left").drop("_id")
-    fields = [f for f in docs.schema.fields if f.name not in ("spans", "_all")]
+        spans = materialize(find_contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"), (F.col("n_hit") == F.col("n_words")).alias("__all")), "spans")
+        docs = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+    fields = [f for f in docs.schema.fields if f.name not in ("__spans", "__all")]
     given = len(blocks) > 1
 
     def clean(batches):
         for batch, texts in shards(batches, "text"):
             if given:
-                rows = [(1, int(bool(a)), [], [(x["first"], x["after"]) for x in s or []]) for s, a in zip(batch.column("spans").to_pylist(), batch.column("_all").to_pylist(), strict=True)]
+                rows = [(1, int(bool(a)), [], [(x["first"], x["after"]) for x in s or []]) for s, a in zip(batch.column("__spans").to_pylist(), batch.column("__all").to_pylist(), strict=True)]
             else:
                 rows = blocks[0].value.scan(texts)
             kept = [k for k, r in enumerate(rows) if r[1] < r[0] or not r[0]]

@@ -10,7 +10,7 @@ rate is a function of its own posterior and of the few vectors u so far, so ther
 Cases: null or empty texts have no tokens, a uniform posterior, and a rate that changes no total; without
 labelled rows of two domains every posterior is uniform; a target that no rate can reach is approached;
 an empty corpus gives no rows; rows that repeat a doc_id are documents of their own; other columns are
-ignored by the query and kept by the pipeline stage.
+ignored by the query and kept by the pipeline stage, unless they have the name of a result.
 """
 
 from __future__ import annotations
@@ -164,6 +164,8 @@ def solve(mass: DataFrame, targets: np.ndarray, most: int = STEPS, tolerance: fl
 def mixed(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents with n_tokens, a posterior p_<domain> for each domain, rate, and copies (the rate, rounded by a draw)."""
     names = list(domains)
+    made = {"n_tokens", "rate", "copies", "_tokens", "_rate", *(f"p_{d}" for d in names), *(f"_p{k}" for k in range(len(names)))}
+    docs = docs.select(*(c for c in docs.columns if c not in made))
     model = fit_classifier(docs, labels, domains)
     share = np.array([targets[d] for d in names], np.float64)
     mass = materialize(classified(docs.select("text"), model, len(names)).drop("text"), "mass")

@@ -90,8 +90,8 @@ def content(words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """The documents with `_row`, a hash of doc_id and text: rows that share it are the same row, repeated."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """The documents with `__row`, a hash of doc_id and text: rows that share it are the same row, repeated."""
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text"))
 
 
 PLACES = "anchor bigint, body bigint, row bigint, first int, windows int"
@@ -117,7 +117,7 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                 anchor, body, first, windows = (np.concatenate(x) for x in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(body), ids.take(pa.array(which)), pa.array(first), pa.array(windows)], ["anchor", "body", "row", "first", "windows"])
 
-    return docs.select("_row", "text").mapInArrow(run, PLACES)
+    return docs.select("__row", "text").mapInArrow(run, PLACES)
 
 
 def index_shard(words: list[np.ndarray], copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -170,7 +170,7 @@ def search_shards(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """
     spark = docs.sparkSession
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "body", "copies", "first", "windows", "hot")).alias("asked"))
-    texts = docs.select("_row", "text").join(asked, F.col("_row") == F.col("row")).select("text", "asked")
+    texts = docs.select("__row", "text").join(asked, F.col("__row") == F.col("row")).select("text", "asked")
 
     def fetch(batches):
         names = ["route", "anchor", "body", "copies", "first", "words"]
@@ -222,7 +222,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     left = keyed(every).select("segment", F.col("anchor").alias("a"), F.col("body").alias("b"), "row", "first")
     joined = salted_left_join(left, keyed(seen), "segment", hot_keys(left, "segment", 256), spread=F.col("row"))
     joined = joined.filter("mask IS NOT NULL AND a = anchor AND b = body")
-    return joined.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("_hits"))
+    return joined.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("__hits"))
 
 
 def covered(n: int, first: np.ndarray, mask: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -238,12 +238,12 @@ def covered(n: int, first: np.ndarray, mask: np.ndarray, length: int = LENGTH) -
 def with_hits(docs: DataFrame, length: int) -> DataFrame:
     docs = with_row(docs)
     hits = repeated_windows(docs, length)
-    return docs.join(hits, docs["_row"] == hits["row"], "left").drop("_row", "row")
+    return docs.join(hits.withColumnRenamed("row", "__row"), "__row", "left").drop("__row")
 
 
 def split_batch(batch: pa.RecordBatch, length: int):
     """For each text of a batch: its words and which of them are covered (None: none)."""
-    hits = batch.column(batch.schema.get_field_index("_hits"))
+    hits = batch.column(batch.schema.get_field_index("__hits"))
     begin, some, flat = hits.offsets.to_numpy(), hits.is_valid().to_pylist(), hits.values
     first, mask = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
     for k, text in enumerate(bytes_of(batch.column(batch.schema.get_field_index("text")))):

@@ -8,7 +8,7 @@ fit: there, each language gets the threshold with the best F1, and the score is
 the logit above that threshold, so that 0.5 is the calibrated limit. The language is guessed from the
 text's own function words; no column but the text enters a score.
 
-Cases: null, empty or letter-less texts have no words and get the score of an empty text, below 0.5;
+Cases: null, empty or letter-less texts have no words and score 0.018;
 without labelled rows of both classes every score is 0; labels that repeat a doc_id count as toxic if one
 of them does; null labels don't count; other columns are ignored, or kept by the pipeline stage.
 """
@@ -30,6 +30,8 @@ POSITIVES, NEGATIVES = 1500, 3000
 BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS = 1 << 16, 12, 12, (1, 2, 3), 6
 #: Parts of the sample for calibration; with fewer toxic texts, each part is scored by a network fitted on the others.
 FOLDS, CROSS_FITTED = 4, 200
+#: Logit of a text without words.
+WORDLESS = -4.0
 #: Words that are convolved at once.
 PIECE = 65536
 WORD = re.compile(r"[^\W\d_]+")
@@ -156,16 +158,16 @@ class Network:
         reach = max(WIDTHS) - 1
         pad = np.full(reach, len(x) - 1, np.int64)
         answers = [[x @ kernel[o] for o in range(w)] for w, kernel in zip(WIDTHS, self.kernels, strict=True)]
-        group: list[tuple[int, np.ndarray]] = []
+        group: list[tuple[int, np.ndarray, int]] = []  # text, words, windows that begin here
 
         def flush():
-            rows = np.concatenate([np.concatenate([r, pad]) for _, r in group])
-            begin = np.cumsum([0] + [len(r) + reach for _, r in group])[:-1]
+            rows = np.concatenate([np.concatenate([r, pad]) for _, r, _ in group])
+            begin = np.cumsum([0] + [len(r) + reach for _, r, _ in group])[:-1]
             n = len(rows) - reach
             inside = np.zeros(len(rows), bool)
-            for b, (_, r) in zip(begin.tolist(), group, strict=True):
-                inside[b : b + len(r)] = True
-            own = [d for d, _ in group]
+            for b, (_, _, starts) in zip(begin.tolist(), group, strict=True):
+                inside[b : b + starts] = True
+            own = [d for d, _, _ in group]
             for i, w in enumerate(WIDTHS):
                 z = np.full((len(rows), FILTERS), -np.inf, np.float32)
                 z[:n] = sum(answers[i][o][rows[o : n + o]] for o in range(w))
@@ -180,7 +182,7 @@ class Network:
         for d, rows in enumerate(docs):
             for a in range(0, len(rows), PIECE):
                 piece = rows[a : a + PIECE + reach]
-                group.append((d, piece))
+                group.append((d, piece, min(PIECE, len(rows) - a)))
                 size += len(piece)
                 if size >= PIECE:
                     flush()
@@ -209,6 +211,7 @@ class Network:
         lexicon = Lexicon()
         docs = [lexicon.encode(t) for t in texts]
         z = self.logits(docs, lexicon.buckets()) - self.thresholds[guess(docs, lexicon.languages())]
+        z[[not len(rows) for rows in docs]] = WORDLESS
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from .prefix import running_sums
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: list) -> DataFrame:
@@ -30,21 +31,25 @@ def class_report(df: DataFrame, truth: str, predicted: str, classes: list) -> Da
     return own.unionByName(macro).unionByName(weighted).select("class", *(F.round(n, 6).alias(n) for n in names), "support")
 
 
+def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Positives and negatives of each distinct score."""
+    return df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
+
+
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Points of the ROC curve, one for each distinct score from high to low.
 
-    Rows are counted by score first; the running sums see distinct scores only.
+    Rows are counted by score first; the running sums see distinct scores only, dealt by range.
     """
-    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    upto, whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select("threshold", "p", "n", F.try_divide(F.sum("p").over(upto), F.sum("p").over(whole)).alias("tpr"), F.try_divide(F.sum("n").over(upto), F.sum("n").over(whole)).alias("fpr"))
+    by = by_score(df, score, label)
+    whole = by.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    points = running_sums(by, "threshold", {"tp": "p", "fp": "n"}, descending=True).join(F.broadcast(whole))
+    return points.select("threshold", "p", "n", F.try_divide("tp", "_p").alias("tpr"), F.try_divide("fp", "_n").alias("fpr"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Exact area under the ROC curve: pairs won plus half of the ties."""
-    by = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    won = running_sums(by_score(df, score, label), "threshold", {"upto": "n"}).withColumn("won", F.col("p") * (F.col("upto") - F.col("n") / 2.0))
     return won.agg(F.round(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .prefix import running_sums
 
 
 def share(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
@@ -53,10 +54,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean rank of ties, from counts of distinct values: the running sum has a row a value, not a row a row."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(counts.withColumn(name, upto - (F.col("_n") - 1) / 2.0).drop("_n"), column, "left")
+    """Mean rank of ties, from counts of distinct values dealt by range."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
+    ranked = running_sums(counts, column, {"_upto": "_k"}).select(column, (F.col("_upto") - (F.col("_k") - 1) / 2.0).alias(name))
+    return df.join(ranked, column, "left")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

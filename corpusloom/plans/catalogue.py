@@ -354,11 +354,14 @@ LINE_SCORE_SQL = r"""CASE WHEN length(line) >= 42 AND length(line) > 0 AND len(r
  THEN least(1.0, least(1.0, length(line) / 130.0) * least(1.0, len(regexp_split_to_array(line, '\s+')) / 16.0) * CASE WHEN len(regexp_extract_all(line, '[a-zA-Z]')) > 0 THEN 0.35 ELSE 1 END) ELSE 0 END"""
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, round(max({LINE_SCORE_SQL}), 6) AS best, round(sum({LINE_SCORE_SQL}), 5) AS total FROM s GROUP BY doc_id")
+@query(f"WITH {LINES_SQL} SELECT doc_id, round(max({LINE_SCORE_SQL}) + 1e-9, 6) AS best, round(sum({LINE_SCORE_SQL}) + 1e-8, 5) AS total FROM s GROUP BY doc_id")
 def line_scores(spark, d):
-    """Prose scores of lines; these tables have no Cyrillic text and no front matter, which the oracle relies on."""
+    """Prose scores of lines; these tables have no Cyrillic text and no front matter, which the oracle relies on.
+
+    The small addends keep ties of the rounding on one side in both engines.
+    """
     rows = Q.explode_lines(load(spark, d, "documents"), "doc_id").withColumn("score", Q.body_line_score(F.col("line")))
-    return rows.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 5).alias("total"))
+    return rows.groupBy("doc_id").agg(F.round(F.max("score") + 1e-9, 6).alias("best"), F.round(F.sum("score") + 1e-8, 5).alias("total"))
 
 
 @query(f"WITH {LINES_SQL}, k AS (SELECT doc_id, line, count(*) AS c FROM s WHERE length(line) BETWEEN 18 AND 220 GROUP BY doc_id, line), kinds AS (SELECT doc_id, count(*) FILTER (c >= 4) AS r4, count(*) FILTER (c >= 2) AS r2 FROM k GROUP BY doc_id) SELECT doc_id, coalesce(r4, 0) AS repeated_line_kinds, coalesce(r2, 0) AS repeated_line_kinds_soft, coalesce(p, 0) AS standalone_page_like_lines, coalesce(g, 0) AS catalog_like_lines, CAST(regexp_matches(text, {lit(P.ABSTRACT_MARK)}) AS BIGINT) AS english_abstract_marker FROM documents LEFT JOIN kinds USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[0-9]{{1,4}}$')) AS p, count(*) FILTER (regexp_matches(line, {lit(P.CATALOGUE_LINE)})) AS g FROM s GROUP BY doc_id) USING (doc_id)")
@@ -435,11 +438,15 @@ CHUNK_SQL = r"""ch AS (SELECT doc_id, 'c' || doc_id AS chunk_id, 'a' || doc_id /
  CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 50) / 10.0 END AS judge_avg FROM documents)"""
 
 
-@query(CHUNK_SQL.replace("ch AS", "WITH ch AS") + """, x AS (SELECT *, label = 2 AND doc_id % 5 <> 0 AND doc_id % 7 = 0 AS broken, label = 2 AND doc_id % 5 = 0 AND doc_id % 10 <> 5 AS nospan, label = 2 AND doc_id % 10 = 5 AS restored, n // 2 AS half FROM ch),
+AUDIT_SQL = CHUNK_SQL + """, x AS (SELECT *, label = 2 AND doc_id % 5 <> 0 AND doc_id % 7 = 0 AS broken, label = 2 AND doc_id % 5 = 0 AND doc_id % 10 <> 5 AS nospan, label = 2 AND doc_id % 10 = 5 AS restored, n // 2 AS half FROM ch),
  y AS (SELECT *, label = 2 AND NOT broken AND NOT nospan AND NOT restored AS pair, CASE WHEN restored THEN least(n, 20) ELSE least(half + 4, n) - 1 END AS ai FROM x),
- z AS (SELECT *, broken OR nospan OR n = 0 OR (pair AND (half <= 1 OR half + 4 > n)) OR (restored AND n = 0) AS dropped FROM y)
- SELECT chunk_id, CASE WHEN dropped THEN 'drop'
-  WHEN doc_id % 13 = 0 OR (label <> 0 AND (judge_avg IS NULL OR judge_avg < 3)) OR n < 50 OR (label = 2 AND abs(0.5 - ai / n) > 0.08) THEN 'quarantine' ELSE 'clean' END AS status FROM z""")
+ z AS (SELECT *, broken OR nospan OR n = 0 OR (pair AND (half <= 1 OR half + 4 > n)) OR (restored AND n = 0) AS dropped FROM y),
+ fl AS (SELECT chunk_id, n, judge_avg, dropped, list_filter([CASE WHEN label = 2 AND abs(0.5 - ai / n) > 0.08 THEN 'ai_fraction_mismatch' END, CASE WHEN label <> 0 AND judge_avg < 3 THEN 'low_judge_avg' END,
+  CASE WHEN label <> 0 AND judge_avg IS NULL THEN 'missing_judge_avg_for_synthetic' END, CASE WHEN doc_id % 13 = 0 THEN 'reported_char_count_mismatch' END, CASE WHEN n < 50 THEN 'too_short_text' END], lambda x: x IS NOT NULL) AS flags FROM z),
+ rv AS (SELECT chunk_id, list_filter(flags, lambda x: x IN ('ai_fraction_mismatch', 'missing_judge_avg_for_synthetic', 'reported_char_count_mismatch') OR (x = 'low_judge_avg' AND judge_avg >= 2)) AS resolved, list_filter(flags, lambda x: (x = 'low_judge_avg' AND judge_avg < 2) OR x = 'too_short_text') AS remaining FROM fl WHERE NOT dropped)"""
+
+
+@query(f"WITH {AUDIT_SQL} SELECT chunk_id, CASE WHEN dropped THEN 'drop' WHEN len(flags) > 0 THEN 'quarantine' ELSE 'clean' END AS status FROM fl")
 def row_audit(spark, d):
     """Audit status of derived chunks."""
     return R.audit(chunk_rows(spark, d)).select("chunk_id", "status")
@@ -450,13 +457,13 @@ def row_audit_flags(spark, d):
     return R.audit(chunk_rows(spark, d)).select("chunk_id", "status", F.array_join("issues", ",").alias("issues"), F.array_join("fatal_issues", ",").alias("fatal_issues"))
 
 
-@query()
+@query(f"WITH {AUDIT_SQL} SELECT chunk_id, CASE WHEN len(remaining) > 0 THEN 'quarantine' ELSE 'clean' END AS reviewed_status, array_to_string(resolved, ',') AS resolved, array_to_string(remaining, ',') AS remaining FROM rv")
 def review_policy(spark, d):
     rows = R.review(R.audit(chunk_rows(spark, d)).filter("status <> 'drop'"))
     return rows.select("chunk_id", "reviewed_status", F.array_join("resolved_flags", ",").alias("resolved"), F.array_join("remaining_flags", ",").alias("remaining"))
 
 
-@query()
+@query(f"WITH {AUDIT_SQL} SELECT flag, count(*) AS n FROM (SELECT unnest(CASE WHEN len(flags) > 0 THEN flags ELSE ['__no_flags__'] END) AS flag FROM fl WHERE NOT dropped) GROUP BY flag")
 def flag_distribution(spark, d):
     rows = R.flag_rows(R.audit(chunk_rows(spark, d)).filter("status <> 'drop'"), "chunk_id", "flags")
     return rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -747,7 +754,11 @@ def refusal_flags(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", X.has_refusal(F.col("text")).alias("refusal"))
 
 
-@query()
+def re2(p: str) -> str:
+    return "'" + p.replace("(?iU)", "(?i)").replace("'", "''") + "'"
+
+
+@query("SELECT conv_id, turn, (" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_STRONG) + ") >= 1 OR (" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_MEDIUM) + ") >= 2 AS leak, least(5, " + " + ".join(f"len(regexp_extract_all(text, {re2(p)}))" for p in P.INJECTIONS) + ") AS injections FROM conversations")
 def prompt_leak(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", X.has_prompt_leak(F.col("text")).alias("leak"), F.size(X.injections(F.col("text"))).alias("injections"))
 

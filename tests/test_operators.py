@@ -258,3 +258,19 @@ def test_streams(spark, tmp_path):
     assert spark.table("dedup").count() == 2
     streams.quarantine_sink(f"{tmp_path}/ok", f"{tmp_path}/held", f"{tmp_path}/cp")(stream.select("url", "text")).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/ok").count() == 3
+
+
+def test_running_sums(spark):
+    from corpusloom.operators.prefix import running_sums
+
+    rng = random.Random(2)
+    rows = [(x, rng.randrange(5)) for x in {round(rng.expovariate(1) - 0.3, 4) for _ in range(3000)}]
+    df = spark.createDataFrame(rows, "x double, n long")
+    for down in (False, True):
+        total, want = 0, {}
+        for x, n in sorted(rows, reverse=down):
+            total += n
+            want[x] = total
+        assert {r.x: r.s for r in running_sums(df, "x", {"s": "n"}, down).collect()} == want
+    assert running_sums(df.limit(0), "x", {"s": "n"}).count() == 0
+    assert running_sums(df.limit(1), "x", {"s": "n"}).count() == 1

@@ -18,13 +18,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import table
 
@@ -125,9 +125,10 @@ class Model:
     def table(self, spark: SparkSession) -> DataFrame:
         """(gram, w0.., t0..): weights by class, and 1 for each template that has the gram."""
         has = [set(grams_of(t)) for _, t in ALL_TEMPLATES]
-        rows = [(g, *map(float, self.weights[k]), *(int(g in h) for h in has)) for g, k in self.grams.items()]
-        fields = [T.StructField("gram", T.StringType())] + [T.StructField(f"w{k}", T.DoubleType()) for k in range(UNKNOWN + 1)] + [T.StructField(f"t{k}", T.IntegerType()) for k in range(len(has))]
-        return spark.createDataFrame(rows, T.StructType(fields))
+        names = [f"w{k}" for k in range(UNKNOWN + 1)] + [f"t{k}" for k in range(len(has))]
+        rows = [{"gram": g} | dict(zip(names, [*map(float, self.weights[k]), *(int(g in h) for h in has)], strict=True)) for g, k in self.grams.items()]
+        schema = "array<struct<gram:string," + ",".join(f"{n}:{'double' if n[0] == 'w' else 'int'}" for n in names) + ">>"
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
 def is_candidate(column):

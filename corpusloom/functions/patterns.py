@@ -51,6 +51,26 @@ CAPTION_LINE = r"(?imu)^(?:Фото|Кадр|Видео|Снимок|Иллюс
 ABSTRACT_MARK = r"(?i)(?:^|\n)Abstract\s*[:.]?\s*\n"
 META_LINES = (ISSN_LINE, EDITORIAL_LINE, COPYRIGHT_LINE, ANNOTATION_LINE, CLASSIFICATION_ONLY, SOURCE_LINE, PUBLICATION_LINE, DOI_LINE, ORCID_LINE)
 
+#: Where an article's tail begins: section headers, codes of a next article, titles in capitals.
+TAIL_HEADER = r"(?iu)^(?:Список\s+(?:литературы|источников?|использованн\S+\s+литературы)|Библиографический\s+список|Библиография|Литература\s*$|Литература\s+\d|References?\s*$|Bibliography\s*$|Сведения\s+об\s+авторах?|Information\s+about\s+(?:the\s+)?authors?|About\s+(?:the\s+)?authors?|Для\s+цитирования|How\s+to\s+cite(?:\s+this\s+article)?\s*$|Статья\s+поступила|Принята\s+к\s+публикации|Annotation\s*$|Abstract\s*$|Keywords?\s*$|Key\s+words\s*$)"
+NEXT_ARTICLE = r"(?iu)^(?:УДК|ББК|UDC|BBK)\s+[\d./\[\]\s\-–—]+$|^DOI\s*[:\s]?\s*10\.\d{4,}/\S+$|^(?:ISSN|ИССН|E-ISSN)\s*[\d\-–—X]{6,}\s*$"
+CAPS_TITLE = r"""^[А-ЯЁA-Z][А-ЯЁA-Z0-9\s\-–—:,.«»"]{14,140}$"""
+#: English metadata inside a Russian text: headers in the order they are tried, and where Russian goes on.
+ENGLISH_HEADERS = (r"(?im)(?:^|\n)(?:Abstract|Summary|Annotation)\s*[:.]?\s*\n", r"(?i)\n(?:Abstract|Summary|Annotation)\s*[:.]\s+[A-Za-z]", r"(?im)(?:^|\n)Key\s*words?\s*[:.]\s*\S")
+ENGLISH_TAIL_HEADERS = (r"(?im)(?:^|\n)(?:Abstract|Summary|Annotation|Key\s*words?)\s*[:.]?\s*\n", r"(?i)\n(?:Abstract|Summary)\s*[:.]\s+[A-Za-z]")
+RUSSIAN_PARAGRAPH = r"\n\n(?=[ \t]*[А-ЯЁа-яё][^\n]{28,})"
+RUSSIAN_TAIL_PARAGRAPH = r"\n\n(?=[ \t]*[А-ЯЁа-яё][^\n]{24,})"
+RUSSIAN_LINE = r"\n(?=[А-ЯЁ][а-яё]{4,}\s)"
+#: Menu and footer lines of portals.
+RBC_FOOTER = r"(?iu)(?:Оставайтесь\s+на\s+связи\s+с\s+РБК|РБК\s+в\s+M[аa]х|РБК\s+в\s+Max|мессенджер[еа]?\s+M[аa]x|мессенджер[еа]?\s+Max|скачайте\s+приложение\s+РБК|rbc\.ru/(?:app|max)\b)"
+PORTAL_LINES = {
+    "pravda": r"(?iU)(?:^Использование\s+материалов\s+сайта\b|^Реклама\s+на\s+сайте\b|^Правил[аи]\s+использования\b|^Свидетельство\s+о\s+регистрации\b|^Новости\s*$|^Публикации\s*$|^Колонки\s*$|^Спецпроекты\s*$|^Радио\s*$|^Мультимедиа\s*$|^Подписка\s*$|редакци[ия]\s*[:.]\s*|^©\s*\d{4}\b.*Правда)",
+    "pravda_ua": r"(?iU)(?:^Реклама\s+на\s+сайте\b|^Правила\s+использования\s+материалов\b|^Политика\s+ИИ\b|^Гендерная\s+политика\b|^Как\s+писать\s+для\s+УП\b|^Стажировка\b|^Использование\s+материалов\s+сайта\b|^Умови\s+використання\b|^Політика\s+ІІ\b|редакци[ия]\s*[—\-]\s*газет|Редакція\s*[:\-]|^redaction@|^press@|@pravda\.com\.ua\b|^Тел\.?\s*[:\-]?\s*\+|Tel\.?\s*[:\-]?\s*\+380)",
+    "pikabu": r"(?iU)(?:Подписаться|Спасибо,\s*что\s+подписались|Лучшие\s+посты\s+недели|Реклам[аы]\s+на\s+Пикабу|Пикабу[\s\-]*пост|Сообщество\s+авторов|^Теги:?\s*$|^Похожие\s+посты|^Ещё\s+посты|^Комментарии\s+\d|^Юмор\s*$|^Здоровье\s*$|^Бизнес\s*$|^Транспорт\s*$|^Наука\s*$|^Моё\s*$|^IT\s*$)",
+    "mail_ru": r"(?iU)(?:^Mail\.Ru\b|@mail\.ru\s*$|Почта\s+Mail|Пользовательское\s+соглашение|^Реклама\s*$)",
+}
+PRAVDA_UA_MENU = r"(?iU)(?:\bНовости\s+Публикации\s+Колонки\b|\bПубликации\s+Колонки\s+Интервью\b|\bНовости\s+Публикации\s+Колонки\s+Интервью\b|\bАрхів\s+новин\b|\bГоловна\s+—\s+УП\b)"
+
 #: Phrases of a model that declines.
 REFUSALS = (
     "я не могу помочь",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import blank, let, lines, strip, strip_tags
+from . import boundaries as B
 from . import quality as Q
 
 #: Typographic characters and what they become.
@@ -43,18 +44,23 @@ class Flags:
     front_matter: bool = False
     captions: bool = False
     prompts: bool = False
-    tail_chrome: str = ""
+    portal: str = ""
+    rbc_footer: bool = False
+    pikabu_tail: bool = False
+    leading_bleed: bool = False
+    english_abstract: bool = False
+    tail_sections: bool = False
 
 
 #: Profiles by source: what they switch on.
 PROFILES = {
-    "cyberleninka_html_ocr": Flags(page_numbers=True, repeated_lines=True, front_matter=True, prompts=True, keywords=True),
+    "cyberleninka_html_ocr": Flags(page_numbers=True, repeated_lines=True, front_matter=True, prompts=True, keywords=True, leading_bleed=True, english_abstract=True, tail_sections=True),
     "lenta_html": Flags(captions=True),
-    "rbc_html": Flags(captions=True, tail_chrome=r"(?iu)^(?:Читайте РБК|Подписывайтесь|Оставайтесь на связи|Теги\s*:|Авторы\s*:)"),
-    "newsapi_pikabu": Flags(tail_chrome=r"(?iu)(?:\bПикабу\b|Показать полностью|Лучшие посты|Правообладателям)"),
-    "newsapi_pravda_ua": Flags(tail_chrome=r"(?iu)(?:Украинская правда|Все права защищены|Политика конфиденциальности)"),
-    "newsapi_pravda": Flags(tail_chrome=r"(?iu)(?:Политика конфиденциальности|Реклама на сайте|Все права защищены)"),
-    "newsapi_mail_ru": Flags(tail_chrome=r"(?iu)(?:Почта Mail|Все новости|Обратная связь|Рекламодателям)"),
+    "rbc_html": Flags(captions=True, rbc_footer=True),
+    "newsapi_pikabu": Flags(portal="pikabu", pikabu_tail=True),
+    "newsapi_pravda_ua": Flags(portal="pravda_ua"),
+    "newsapi_pravda": Flags(portal="pravda"),
+    "newsapi_mail_ru": Flags(portal="mail_ru"),
     "": Flags(),
 }
 
@@ -109,10 +115,6 @@ def keep_lines(c, test) -> Column:
     return F.array_join(F.filter(lines(c), test), "\n")
 
 
-def drop_tail_lines(c, pattern: str, last: int = 55) -> Column:
-    return let(lines(c), lambda own: F.array_join(F.filter(own, lambda x, i: ~((i >= F.size(own) - last) & strip(x).rlike(pattern))), "\n"))
-
-
 def clean(c, flags: Flags = Flags()) -> Column:  # noqa: B008
     """The cleaned text; null and empty texts stay as they are."""
     f = flags
@@ -121,7 +123,9 @@ def clean(c, flags: Flags = Flags()) -> Column:  # noqa: B008
         (f.unicode, normalize_characters),
         (f.control, lambda t: drop(F.replace(t, F.lit(P.SOFT_HYPHEN), F.lit("")), P.CONTROL)),
         (f.backslash, lambda t: where_has(t, "\\", lambda x: drop(x, P.STRAY_BACKSLASH, " "))),
-        (f.tail_chrome, lambda t: drop_tail_lines(t, f.tail_chrome)),
+        (f.portal, lambda t: B.drop_portal(t, f.portal)),
+        (f.rbc_footer, B.drop_rbc_footer),
+        (f.pikabu_tail, lambda t: let(t, lambda x: B.trim_pikabu_tail(x))),
         (f.prompts, lambda t: drop(t, P.PORTAL_PROMPT)),
         (f.captions, lambda t: keep_lines(t, lambda x: ~strip(x).rlike(P.CAPTION_LINE))),
         (f.page_numbers, lambda t: keep_lines(t, lambda x: ~strip(x).rlike(P.PAGE_NUMBER))),
@@ -129,6 +133,7 @@ def clean(c, flags: Flags = Flags()) -> Column:  # noqa: B008
         (f.front_matter, lambda t: keep_lines(t, lambda x, i: (i >= 100) | ~let(strip(x), Q.is_meta_line))),
         (f.line_hyphen, lambda t: drop(t, P.LINE_HYPHEN, "$1$2")),
         (True, lambda t: drop(t, P.SPACE_HYPHEN, "$1$2")),
+        (f.leading_bleed, lambda t: let(t, lambda x: B.trim_start(x))),
         (f.bibliography, cut_bibliography),
         (f.authors, lambda t: drop(drop(t, P.AUTHORS_RU), P.AUTHORS_EN)),
         (f.classification, lambda t: drop(t, P.CLASSIFICATION_LINE)),
@@ -143,6 +148,9 @@ def clean(c, flags: Flags = Flags()) -> Column:  # noqa: B008
         (f.footnotes, lambda t: drop(drop(t, P.FOOTNOTE_NUMBER), P.FOOTNOTE_BRACKET)),
         (f.inline_refs, lambda t: drop(drop(t, P.REF_ROUND), P.REF_SQUARE)),
         (f.cite_en, lambda t: drop(t, P.CITE_EN)),
+        (f.english_abstract, B.strip_english),
+        (f.tail_sections, lambda t: let(t, lambda x: B.trim_tail(x))),
+        (f.tail_sections and f.english_abstract, B.strip_english_tail),
         (True, lambda t: strip(drop(drop(t, "[ \t]{2,}", " "), "\n{3,}", "\n\n"))),
     ]
     t = c

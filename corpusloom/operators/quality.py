@@ -138,10 +138,15 @@ def portal_hits(c, pattern: str, head: int = 45, tail: int = 55) -> Column:
     return F.size(F.filter(own, lambda x, i: ((i < head) | (i >= n - tail)) & x.rlike(pattern))).cast("bigint")
 
 
-def quality(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds quality_score (0 to 100) and quarantine_candidate; brings the noise vector and the document type along."""
+def quality(df: DataFrame, text: str = "text", kind: Column | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Adds quality_score (0 to 100) and quarantine_candidate; brings the noise vector and the document type along.
+
+    `kind` overrides the document type where it isn't null; any of `more` quarantines as well.
+    """
     t = blank(F.col(text))
     df = document_type(with_noise(df, text), text)
+    if kind is not None:
+        df = df.withColumn("probable_document_type", F.coalesce(kind, "probable_document_type"))
     found = artifacts(F.col(text))
     n, solid, c = F.length(t), count_of(t, r"(?U)\S"), F.col
     odd = count_of(t, r"[\p{So}\p{Sk}\p{Sm}]")
@@ -152,13 +157,13 @@ def quality(df: DataFrame, text: str = "text") -> DataFrame:
     penalty = (
         F.least(F.lit(25), c("ocr_catalog_like_tokens") * 2) + F.least(F.lit(15), c("digit_letter_mixed_tokens")) + F.least(F.lit(15), c("repeated_line_kinds") * 3) + F.least(F.lit(10), c("standalone_page_like_lines"))
         + F.least(F.lit(10.0), c("_odd") * 200) + c("_biblio") * 3 + F.least(F.lit(10), F.floor(c("_urls") / 2)) + F.least(F.lit(8), c("_emails") * 2) + front * 18 + repeated * 12
-        + F.when(mismatch, 12).otherwise(0) + F.when(c("probable_document_type") == "bibliographic_review_like", 10).when(c("probable_document_type") == "noisy_ocr_like", 8).otherwise(0)
+        + F.when(mismatch, 12).otherwise(0) + F.when(c("probable_document_type") == "bibliographic_review_like", 10).when(c("probable_document_type") == "noisy_ocr_like", 8).when(c("probable_document_type") == "portal_noise_heavy", 14).otherwise(0)
     )
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - penalty)), 2)
     df = df.withColumn("quality_score", score)
     quarantine = any_of(
         c("quality_score") < 42, c("ocr_catalog_like_tokens") > 40, c("_odd") > 0.085, (c("repeated_line_kinds") > 8) & (n > 500),
-        (c("probable_document_type") == "bibliographic_review_like") & (c("bibliographic_score") > 0.72), (F.length(strip(t)) < 380) & (n > 1200),
+        (c("probable_document_type") == "bibliographic_review_like") & (c("bibliographic_score") > 0.72), (F.length(strip(t)) < 380) & (n > 1200), *more,
     )
     return df.withColumns({"suspicious_symbol_ratio": F.round("_odd", 5), "quarantine_candidate": quarantine}).drop("_odd", "_biblio", "_urls", "_emails", "_cyr", "_lat")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions import text as X
+from ..operators import boundaries as B
 from ..operators import chunks as K
 from ..operators import cleaner as CL
 from ..operators import corpus as C
@@ -373,12 +374,12 @@ def noise_vector(spark, d):
 @query()
 def quality_score(spark, d):
     """Noise vector, document type, score and quarantine of every document."""
-    return Q.quality(load(spark, d, "documents")).select("doc_id", "quality_score", "probable_document_type", "quarantine_candidate", "suspicious_symbol_ratio", *Q.NOISE)
+    return B.quality(load(spark, d, "documents")).select("doc_id", "portal_chrome_hits", "next_article_bleed", "quality_score", "probable_document_type", "quarantine_candidate", "suspicious_symbol_ratio", *Q.NOISE)
 
 
 @query()
 def quarantine_rate_by_source(spark, d):
-    rows = Q.quality(load(spark, d, "documents"))
+    rows = B.quality(load(spark, d, "documents"))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("quarantine_candidate").cast("int"))).alias("rate"), r6(F.avg("quality_score")).alias("mean_score"))
 
 
@@ -400,6 +401,14 @@ def clean_text_basic(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(CL.clean(F.col("text"), flags)).alias("digest"))
 
 
+@query()
+def article_bounds(spark, d):
+    """Probable first and last lines, portal hits and signs of a next article."""
+    t = F.col("text")
+    rows = load(spark, d, "documents").select("doc_id", B.article_start(t).alias("s"), B.article_end(t).alias("e"), B.portal_hits(t, "pravda").alias("portal_hits"), B.next_article_bleed(t).alias("bleed"))
+    return rows.select("doc_id", F.col("s.pos").alias("start_line"), F.col("s.confidence").alias("start_confidence"), F.col("e.pos").alias("end_line"), F.col("e.confidence").alias("end_confidence"), "portal_hits", "bleed")
+
+
 @query()
 def clean_text_full(spark, d):
     """Every default step, by source profile."""

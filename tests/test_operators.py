@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import schemas
 from corpusloom.functions import spans as S
 from corpusloom.functions import text as X
-from corpusloom.operators import chunks, cleaner, corpus, evaluation, html, quality, records, scoring, windows
+from corpusloom.operators import boundaries, chunks, cleaner, corpus, evaluation, html, quality, records, scoring, windows
 from corpusloom.sources import io
 from corpusloom.streaming import streams
 
@@ -274,3 +274,44 @@ def test_running_sums(spark):
         assert {r.x: r.s for r in running_sums(df, "x", {"s": "n"}, down).collect()} == want
     assert running_sums(df.limit(0), "x", {"s": "n"}).count() == 0
     assert running_sums(df.limit(1), "x", {"s": "n"}).count() == 1
+
+
+def test_article_boundaries(spark):
+    prose = "Во второй части работы подробно рассматриваются методы измерения и полученные результаты, а также их обсуждение в сравнении с прежними."
+    english = "Abstract\nThis paper deals with methods of measurement and their results in a broad comparison with earlier work.\n\n"
+    tail = "\n".join([prose] * 30 + ["Список литературы", "1. Книга", "УДК 123.4", "ISSN 1234-5678"])
+    assert one(spark, boundaries.article_end(F.col("t")), t=tail)[:] == (30, 0.78)
+    assert one(spark, boundaries.trim_tail(F.col("t")), t=tail) == "\n".join([prose] * 30)
+    assert one(spark, boundaries.next_article_bleed(F.col("t")), t=tail) is True and one(spark, boundaries.next_article_bleed(F.col("t")), t=prose) is False
+    early = "\n".join(["Литература"] + [prose] * 30)
+    assert one(spark, boundaries.trim_tail(F.col("t")), t=early) == early
+    head = "\n".join(["12", "короткая строка", "ещё"] * 5 + [prose] * 10)
+    assert one(spark, boundaries.article_start(F.col("t"))["pos"], t=head) == 15
+    assert one(spark, boundaries.trim_start(F.col("t")), t=head) == "\n".join([prose] * 10)
+    mixed = f"{prose}\n{english}{prose}"
+    out = one(spark, boundaries.strip_english(F.col("t")), t=mixed)
+    assert "This paper" not in out and out.count(prose) == 2
+    assert one(spark, boundaries.strip_english(F.col("t")), t=prose) == prose
+    tailed = f"{prose * 4}\n{english.strip()}"
+    assert one(spark, boundaries.strip_english_tail(F.col("t")), t=tailed) == prose * 4
+    assert one(spark, boundaries.drop_title_prefix(F.col("t"), F.col("p")), t="Название статьи\nТекст", p="название статьи") == "Текст"
+
+
+def test_portal_chrome(spark):
+    body = "\n".join([BODY] * 6)
+    wall = "IT · Юмор · Наука · Бизнес · Моё"
+    for variant, junk in (("pravda", "Реклама на сайте"), ("pravda_ua", "Новости Публикации Колонки"), ("pikabu", wall), ("mail_ru", "Почта Mail")):
+        text = f"{junk}\n{body}\n{junk}"
+        assert one(spark, boundaries.drop_portal(F.col("t"), variant), t=text) == body
+        assert one(spark, boundaries.portal_hits(F.col("t"), variant), t=text) == 2
+    assert one(spark, boundaries.drop_rbc_footer(F.col("t")), t=f"{body}\nОставайтесь на связи с РБК в Max") == body
+    assert one(spark, boundaries.trim_pikabu_tail(F.col("t")), t="\n".join([BODY] * 12 + ["", wall, "Теги:"])) == "\n".join([BODY] * 12)
+    assert one(spark, boundaries.trim_pikabu_tail(F.col("t")), t=body) == body
+
+
+def test_portal_walls_are_quarantined(spark):
+    wall = "\n".join(f"IT · Юмор · Наука · Бизнес · раздел {k}" for k in range(16))
+    rows = spark.createDataFrame([(1, wall + "\n" + BODY), (2, (BODY + " ") * 40)], "id int, text string")
+    got = {r.id: r for r in boundaries.quality(rows).collect()}
+    assert got[1].probable_document_type == "portal_noise_heavy" and got[1].quarantine_candidate
+    assert got[2].portal_chrome_hits == 0 and not got[2].quarantine_candidate

@@ -35,7 +35,7 @@ BLOCK_BYTES, SHARD_WORDS = 32 << 20, 2_000_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 SPANS = "array<struct<first:int,after:int>>"
-REPORT = f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}"
+REPORT = f"row bigint, doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans {SPANS}"
 
 
 class Phrases:
@@ -138,18 +138,18 @@ def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1])) for r in block.collect()], window))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each document: words, words inside an occurrence of a window, items with occurrences, merged spans."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def scan_blocks(docs: DataFrame, blocks: list) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, items, spans) for broadcast blocks of items; rows that share `row` are the same row, repeated."""
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = []
-    for phrases in phrase_blocks(benchmark, window):
+    for phrases in blocks:
 
         def scan(batches, phrases=phrases):
-            schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))])
+            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))])
             for batch, texts in shards(batches, "text"):
                 rows = phrases.value.scan(texts)
                 spans = [[{"first": a, "after": b} for a, b in r[3].tolist()] for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(3)), pa.array(spans, schema.field(4).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(3)), pa.array(spans, schema.field(5).type)], schema=schema)
 
         found.append(docs.mapInArrow(scan, REPORT))
     if len(found) == 1:
@@ -157,13 +157,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     merged = found[0]
     for part in found[1:]:
         merged = merged.unionByName(part)
-    # blocks of items: spans of all blocks are sorted and folded into disjoint ones
+    # blocks of items: spans of all blocks are sorted and folded into disjoint ones; a repeated row comes back as often as it was
     fold = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<first:int,after:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).after >= x.first,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'after', greatest(element_at(a, -1).after, x.after)))),
            concat(a, array(x))))"""
-    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(fold).alias("spans"))
-    return merged.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.after - x.first)").alias("n_hit"), "items", "spans")
+    merged = merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(fold).alias("spans"), (F.count(F.lit(1)) / len(found)).cast("int").alias("copies"))
+    hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.after - x.first)").alias("n_hit")
+    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row", "doc_id", "n_words", hit, "items", "spans")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each document: words, words inside an occurrence of a window, items with occurrences, merged spans."""
+    return scan_blocks(docs, list(phrase_blocks(benchmark, window))).drop("row")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -171,8 +177,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     blocks = list(phrase_blocks(benchmark, window))
     columns = docs.columns
     if len(blocks) > 1:
-        spans = materialize(find_contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"), (F.col("n_hit") == F.col("n_words")).alias("__all")), "spans")
-        docs = docs.join(spans, docs["doc_id"] == spans["__id"], "left").drop("__id")
+        found = scan_blocks(docs, blocks).filter("n_hit > 0").dropDuplicates(["row"])
+        spans = materialize(found.select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), (F.col("n_hit") == F.col("n_words")).alias("__all")), "spans")
+        docs = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(spans, "__row", "left").drop("__row")
     fields = [f for f in docs.schema.fields if f.name not in ("__spans", "__all")]
     given = len(blocks) > 1
 

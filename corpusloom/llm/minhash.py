@@ -106,7 +106,7 @@ def edited(text: str, following: str) -> str:
 
 
 def next_parts(docs: DataFrame) -> DataFrame:
-    """Documents as (part, copy, doc_id, text): each part holds a range of doc_ids and, as its last row, the first document of the next part.
+    """Documents as (part, copy, doc_id, text), dealt by part: it holds a range of doc_ids and, as its last row, the first document of the next part.
 
     Only the largest doc_id of each part comes to the driver, so many as there are shuffle partitions.
     """
@@ -129,7 +129,8 @@ def next_parts(docs: DataFrame) -> DataFrame:
         return pd.Series([[a, -1 - (a - 1) % len(heads)] if h else [a] for a, h in zip(at.tolist(), head.tolist(), strict=True)])
 
     rows = docs.select(F.explode(parts_of("doc_id")).alias("p"), "doc_id", "text")
-    return rows.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("copy"), "doc_id", "text")
+    rows = rows.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("copy"), "doc_id", "text")
+    return rows.repartitionById(max(1, len(heads)), F.col("part"))
 
 
 FINGERPRINTS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -162,8 +163,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if last and not last[1]:  # only where every doc_id is null: the last document has no next one but itself
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row(last, last)], names)
 
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "part").sortWithinPartitions(*order).mapInArrow(run, FINGERPRINTS)
+    return rows.sortWithinPartitions(*order).mapInArrow(run, FINGERPRINTS)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,3 +315,14 @@ def test_portal_walls_are_quarantined(spark):
     got = {r.id: r for r in boundaries.quality(rows).collect()}
     assert got[1].probable_document_type == "portal_noise_heavy" and got[1].quarantine_candidate
     assert got[2].portal_chrome_hits == 0 and not got[2].quarantine_candidate
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from corpusloom.functions import sql
+
+    assert len(sql.register(spark)) == 8
+    spark.createDataFrame([(" HTTP://A/b// ", "a  b\n\tc <p>x</p>", 80.0), (None, None, None)], "u string, t string, s double").createOrReplaceTempView("sql_rows")
+    got = spark.sql("SELECT normalize_url(u) AS a, word_count(t) AS b, strip_tags(t) AS c, flatten_lines(t) AS d, ui_bucket(s) AS e, risk_level(0.5D) AS f, verdict_probability('AI', 0.5D) AS g FROM sql_rows").collect()
+    want = spark.table("sql_rows").select(X.normalize_url(F.col("u")), X.word_count(F.col("t")), X.strip_tags(F.col("t")), X.flatten_lines(F.col("t")), X.ui_bucket(F.col("s")), F.lit("medium"), F.lit(0.75)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert [r.line for r in spark.sql("SELECT * FROM text_lines('a\\nb')").collect()] == ["a", "b"]

@@ -14,7 +14,9 @@ they meet under one anchor hash. Consecutive windows with one anchor position fo
 3. Reported windows go back to the documents; words they cover are removed.
 
 Shards grow in number with the candidates, and a hot anchor (many distinct segments) is dealt out by a
-second anchor of each window, so no task holds an unbounded group. All tables but the texts are numbers.
+second anchor of each window. Equal segments are counted, not repeated; what one task still holds together
+is one row of some 200 bytes for each distinct segment that shares both anchors. All tables but the texts
+are numbers.
 
 Cases: null texts have no words; a text of fewer than LENGTH words keeps all; rows that repeat a doc_id
 are told apart by their texts and count as separate documents; an empty table gives no rows; other

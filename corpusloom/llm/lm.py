@@ -37,6 +37,8 @@ ORDER = 3
 PRIOR = {2: 5000.0, 3: 3.0}
 #: Bytes of text in a block; bytes of text of all blocks for each shard of the hash range.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
+#: Rounds in which the shards are filled, one part of the hash range after the other: less disk, more reading.
+ROUNDS = 2
 #: Bits of an n-gram's hash that travel: enough to keep 1e10 n-grams apart but for one in 1e7.
 KEY_BITS = 56
 END, START = np.uint64(1), np.uint64(2)
@@ -188,23 +190,25 @@ GRAMS = "shard int, block bigint, keys binary, counts binary"
 COUNTS = "block bigint, shard int, counts binary, tokens bigint, types bigint, once bigint, twice bigint"
 
 
-def send_grams(blocks: DataFrame, shards: int) -> DataFrame:
-    """For each block and shard, the distinct n-grams of the block that belong there, and their training counts."""
-    cuts = np.array([(i << KEY_BITS) // shards for i in range(1, shards)], np.uint64)
+def send_grams(blocks: DataFrame, shards: int, first_shard: int, after: int) -> DataFrame:
+    """For each block and each shard from first_shard up to after, the distinct n-grams of the block that belong there, and their training counts."""
+    edge = lambda i: np.uint64((i << KEY_BITS) // shards)
+    low, high, cuts = edge(first_shard), edge(after), np.array([edge(i) for i in range(first_shard + 1, after)], np.uint64)
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, block = open_block(data.as_py())
-                order = np.argsort(block.keys)
+                mine = np.flatnonzero((block.keys >= low) & (block.keys < high))
+                order = mine[np.argsort(block.keys[mine])]
                 keys = block.keys[order]
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
                 counts = np.add.reduceat(block.learn[order].astype(np.int64), first) if len(first) else first
                 keys = keys[first]
                 edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-                used = [i for i in range(shards) if edges[i] < edges[i + 1]]
+                used = [i for i in range(after - first_shard) if edges[i] < edges[i + 1]]
                 parts = [slice(edges[i], edges[i + 1]) for i in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array([press(keys[p]) for p in parts], pa.binary()), pa.array([press_counts(counts[p]) for p in parts], pa.binary())], ["shard", "block", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([first_shard + i for i in used], pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array([press(keys[p]) for p in parts], pa.binary()), pa.array([press_counts(counts[p]) for p in parts], pa.binary())], ["shard", "block", "keys", "counts"])
 
     return blocks.select("block", "data").mapInArrow(run, GRAMS)
 
@@ -237,7 +241,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = materialize(pack_blocks(docs), "blocks")
     shards = max(1, -(-(blocks.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
-    counts = materialize(send_grams(blocks, shards).groupBy("shard").applyInArrow(sum_shard, COUNTS), "counts")
+    counts = None
+    for k in range(ROUNDS):  # the shuffle of a round is gone before the next one begins
+        first, after = shards * k // ROUNDS, shards * (k + 1) // ROUNDS
+        if first < after:
+            part = materialize(send_grams(blocks, shards, first, after).groupBy("shard").applyInArrow(sum_shard, COUNTS), "counts")
+            counts = part if counts is None else counts.unionByName(part)
     sums = counts.filter("block IS NULL").agg(*(F.sum(x) for x in ("tokens", "types", "once", "twice"))).first()
     stats = Statistics(*(x or 0 for x in sums))
 

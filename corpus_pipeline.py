@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, mixing, simhash, substring, toxicity
+from corpusloom.llm import decontam, mixing, nearcopies, substring, toxicity
 from corpusloom.llm.common import materialize, table
 
 #: The last stage mixes what is left: prose and rough text.
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints, the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of texts with a similarity of 0.8 or more in five-word shingles, the document with the smallest doc_id."""
+    return nearcopies.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a similarity of 0.8 or more in five-word shingles, the document with the smallest doc_id."""
+    """Of each group of texts with a similarity of 0.8 or more in five-word shingles, exactly one row: that with the smallest doc_id."""
     return nearcopies.keep_one(docs)
 
 

@@ -12,7 +12,9 @@ more, each is compared with the smallest; where that leaves several groups, they
 Known limit: texts of which four fifths are shingles that very many texts share meet in such blocks.
 Shingles, texts and nodes are told apart by 64-bit hashes.
 
-Cases: null and word-less texts are one node; an empty table gives no rows.
+Cases: null and word-less texts are one node; rows count each for itself, so of repeated rows, and of
+copies with null doc_ids, one stays, and two texts under one doc_id are judged apart; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -209,6 +211,15 @@ def group_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; documents without doc_id stay."""
-    gone = group_rows(docs).filter("best.doc_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Exactly one row of each group, the first by doc_id (nulls last), then by hash of the text; rows of other groups under the same doc_id stay."""
+    groups = group_rows(docs)
+    by_text = groups.select(F.col("h").alias("__h"), F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__best")).distinct()
+    rows = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    first = F.col("__best").isNull() | ((F.col("__h") == F.col("__best")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")))
+    kept = salted_left_join(rows, by_text, "__h", hot_keys(rows.select("__h"), "__h")).filter(first)
+    # equal rows are all the first of their group: they are folded into one
+    equal = groups.filter((F.col("h") == F.col("best.h")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("again") > 1)).select(F.col("h").alias("__h")).distinct()
+    if equal.isEmpty():
+        return kept.select(*docs.columns)
+    others = kept.join(equal, "__h", "left_anti")
+    return others.unionByName(kept.join(equal, "__h", "left_semi").dropDuplicates(["__h"])).select(*docs.columns)

@@ -48,3 +48,16 @@ def test_pipeline_drops_every_near_copy_at_four_fifths(spark, monkeypatch, cap,
 
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(groups_of(texts)))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without doc_id, two texts under one doc_id."""
+    rng = random.Random(9)
+    one, two, three, four = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (1, one), (None, one), (2, one), (2, two), (None, three), (None, three), (5, four), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id bigint, text string, again int").repartition(3)
+    kept = nearcopies.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(1, one), (2, two), (None, three), (5, four), (5, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in want)
+    assert nearcopies.keep_one(docs.limit(0)).count() == 0

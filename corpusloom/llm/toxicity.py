@@ -2,11 +2,12 @@
 
 A word (a run of letters, lower-cased) is the sum of hashed embeddings of itself and of its prefixes of
 three to five letters. Filters of widths one to three slide over the whole text; each keeps its largest
-answer; a logistic layer gives a logit. The network is fitted on the driver on a bounded sample of
-labelled rows (POSITIVES + NEGATIVES, drawn by a hash of doc_id). A part of the sample stays out of the
-fit: there, each language gets the threshold with the best F1, and the score is the logistic function of
-the logit above that threshold, so that 0.5 is the calibrated limit. The language is guessed from the
-text's own function words; no column but the text enters a score.
+answer; a logistic layer gives a logit. The network is fitted on a bounded sample of labelled rows
+(POSITIVES + NEGATIVES, drawn by a hash of doc_id). Thresholds come from all labelled rows: each is
+scored by the network of its fold, fitted on the sample without that fold, and each language gets the
+threshold with the best F1 over the counts of those logits, at the classes' own frequency. The score is
+the logistic function of the logit above that threshold, so that 0.5 is the calibrated limit. The
+language is guessed from the text's own function words; no column but the text enters a score.
 
 Cases: null, empty or letter-less texts have no words and score 0.018;
 without labelled rows of both classes every score is 0; labels that repeat a doc_id count as toxic if one
@@ -28,8 +29,8 @@ from .common import table
 #: Bound of the labelled sample.
 POSITIVES, NEGATIVES = 1500, 3000
 BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS = 1 << 16, 12, 12, (1, 2, 3), 6
-#: Parts of the sample for calibration; with fewer toxic texts, each part is scored by a network fitted on the others.
-FOLDS, CROSS_FITTED = 4, 200
+#: Parts of the labelled rows, each scored for calibration by a network fitted on the others; logits are counted in bins of 1 / BIN up to LIMIT.
+FOLDS, BIN, LIMIT = 4, 64, 50
 #: Logit of a text without words.
 WORDLESS = -4.0
 #: Words that are convolved at once.
@@ -191,21 +192,24 @@ class Network:
             flush()
         return np.maximum(tops, 0) @ self.out + self.bias
 
-    def calibrate(self, logits: np.ndarray, y: np.ndarray, language: np.ndarray, least: int = 10) -> None:
-        """The threshold with the best F1 for all texts and, where both classes are frequent enough, for each language."""
-        def best(z, t):
-            order = np.argsort(z)
-            z, t = z[order], t[order]
-            rest = t[::-1].cumsum()[::-1]
-            f1 = 2 * rest / (np.arange(len(t), 0, -1) + t.sum())
+    def calibrate(self, counts: list[tuple[int, int, int, int]], least: int = 10) -> None:
+        """The threshold with the best F1 for all texts and, where both classes are frequent enough, for each language, from counts (language, bin, texts, toxic texts)."""
+        def best(some):
+            bins = np.unique(some[:, 1])
+            at = np.searchsorted(bins, some[:, 1])
+            n, t = (np.bincount(at, some[:, k], len(bins)) for k in (2, 3))
+            f1 = 2 * t[::-1].cumsum()[::-1] / (n[::-1].cumsum()[::-1] + t.sum())
             k = int(f1.argmax())
-            return z[k] / 2 + z[k - 1] / 2 if k else z[0] - 1.0
+            return (bins[k] + bins[k - 1] + 1) / (2 * BIN) if k else bins[0] / BIN - 1.0
 
-        self.thresholds[:] = best(logits, y)
+        counts = np.array(counts, np.int64).reshape(-1, 4)
+        if not 0 < counts[:, 3].sum() < counts[:, 2].sum():
+            return
+        self.thresholds[:] = best(counts)
         for k in range(1, len(LANGUAGES)):
-            mine = language == k
-            if min(y[mine].sum(), (1 - y[mine]).sum()) >= least:
-                self.thresholds[k] = best(logits[mine], y[mine])
+            mine = counts[counts[:, 0] == k]
+            if min(mine[:, 3].sum(), (mine[:, 2] - mine[:, 3]).sum()) >= least:
+                self.thresholds[k] = best(mine)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         lexicon = Lexicon()
@@ -226,10 +230,15 @@ def guess(docs: list[np.ndarray], languages: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(labels: DataFrame, kept) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that `kept` allows."""
+    rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & kept)
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, kept, positives: int = POSITIVES, negatives: int = NEGATIVES) -> list[tuple[int, str, int]]:
     """At most positives + negatives labelled texts, those whose doc_id hashes lowest, among the rows that `kept` allows."""
-    rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & kept)
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labelled(labels, kept)
     draw = lambda x, n: rows.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = draw(1, positives).unionByName(draw(0, negatives))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
@@ -237,59 +246,80 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, kept, positives: int = P
     return sorted((r["doc_id"], r["text"], r["toxic"]) for r in found.collect())
 
 
-def train(sample: list[tuple[int, str, int]]) -> Network | None:
-    """The fitted and calibrated network; None where a class is missing."""
+def fold(doc_id: int) -> int:
+    """The part that a document belongs to."""
+    return zlib.crc32(f"aside {doc_id}".encode()) % FOLDS
+
+
+def train(sample: list[tuple[int, str, int]], aside: int | None = None) -> Network | None:
+    """The network fitted on a sample, without the fold `aside` where both classes remain; None where a class is missing."""
     y = np.array([s[2] for s in sample], np.float64)
     if not len(y) or y.min() == y.max():
         return None
+    rest = [s for s in sample if fold(s[0]) != aside]
+    if len({s[2] for s in rest}) == 2:
+        sample, y = rest, np.array([s[2] for s in rest], np.float64)
     lexicon = Lexicon()
     docs = [lexicon.encode(s[1]) for s in sample]
-    buckets, spoken = lexicon.buckets(), lexicon.languages()
-    part = np.array([zlib.crc32(f"aside {s[0]}".encode()) % FOLDS for s in sample])
-
-    def fitted(rows: np.ndarray) -> Network:
-        net, some = Network(), [docs[i] for i in rows]
-        net.prime(some, buckets, y[rows])
-        net.fit(some, buckets, y[rows])
-        return net
-
-    # a small sample is calibrated on the logits of networks that haven't seen the text; a large one on its first part
-    small = y.sum() < CROSS_FITTED
-    logits, known = np.zeros(len(y)), np.zeros(len(y), bool)
-    net = None
-    for k in range(FOLDS if small else 1):
-        rest, mine = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        if len(mine) and len(rest) and y[rest].min() < y[rest].max():
-            net = fitted(rest)
-            logits[mine], known[mine] = net.logits([docs[i] for i in mine], buckets), True
-    if small or net is None:
-        net = fitted(np.arange(len(y)))
-    test = np.flatnonzero(known)
-    if not len(test) or y[test].min() == y[test].max():
-        test = np.arange(len(y))
-        logits = net.logits(docs, buckets)
-    net.calibrate(logits[test], y[test], guess([docs[i] for i in test], spoken))
+    net, buckets = Network(), lexicon.buckets()
+    net.prime(docs, buckets, y)
+    net.fit(docs, buckets, y)
     return net
 
 
-def scorer(docs: DataFrame, labels: DataFrame, kept=None):
-    """A broadcast of the network fitted on the labelled rows that `kept` allows."""
-    sample = labelled_sample(docs, labels, F.lit(True) if kept is None else kept)
-    return docs.sparkSession.sparkContext.broadcast(train(sample))
+def logit_counts(docs: DataFrame, labels: DataFrame, kept, nets) -> list[tuple[int, int, int, int]]:
+    """(language, bin, texts, toxic texts) over all labelled texts that have words, each scored by the network of its fold; `kept` is a condition on doc_id."""
 
+    def run(batches):
+        for batch in batches:
+            ids, texts = (batch.column(i).to_pylist() for i in range(2))
+            languages, bins = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+            parts = np.array([fold(i) for i in ids], np.int64)
+            for k, net in enumerate(nets.value):
+                mine = np.flatnonzero(parts == k)
+                for some in pieces([texts[i] for i in mine]):
+                    lexicon = Lexicon()
+                    rows = [lexicon.encode(t) for t in some]
+                    now, mine = mine[: len(some)], mine[len(some) :]
+                    z = net.logits(rows, lexicon.buckets())
+                    bins[now] = np.floor(np.clip(z, -LIMIT, LIMIT) * BIN)
+                    spoken = guess(rows, lexicon.languages())
+                    spoken[[not len(r) for r in rows]] = -1
+                    languages[now] = spoken
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.int32()), pa.array(bins, pa.int32())], ["doc_id", "language", "bin"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & kept)
+    found = texts.mapInArrow(run, "doc_id bigint, language int, bin int").filter("language >= 0").join(labelled(labels, kept), "doc_id")
+    return [tuple(r) for r in found.groupBy("language", "bin").agg(F.count(F.lit(1)), F.sum("toxic")).collect()]
 
-def score_batch(net: Network | None, texts: list[str | None], piece: int = 4 << 20) -> np.ndarray:
-    """Scores of texts, taken in groups of about `piece` characters."""
-    if net is None:
-        return np.zeros(len(texts))
-    out, group, size = [np.zeros(0)], [], 0
+
+def scorer(docs: DataFrame, labels: DataFrame, kept=None):
+    """A broadcast of the network fitted on a sample of the labelled rows that `kept` allows, with thresholds from all of them."""
+    context, kept = docs.sparkSession.sparkContext, F.lit(True) if kept is None else kept
+    sample = context.broadcast(labelled_sample(docs, labels, kept))
+    # one task for each fold, and one for the whole sample
+    *folds, net = context.parallelize([*range(FOLDS), None], FOLDS + 1).map(lambda k: train(sample.value, k)).collect()
+    if net is not None:
+        net.calibrate(logit_counts(docs, labels, kept, context.broadcast(folds)))
+    return context.broadcast(net)
+
+
+def pieces(texts: list[str | None], piece: int = 4 << 20):
+    """Texts in groups of about `piece` characters."""
+    group, size = [], 0
     for k, text in enumerate(texts):
         group.append(text or "")
         size += len(group[-1])
         if size >= piece or k == len(texts) - 1:
-            out.append(net.scores(group))
+            yield group
             group, size = [], 0
-    return np.concatenate(out)
+
+
+def score_batch(net: Network | None, texts: list[str | None], piece: int = 4 << 20) -> np.ndarray:
+    """Scores of texts, taken in groups of about `piece` characters."""
+    if net is None:
+        return np.zeros(len(texts))
+    return np.concatenate([np.zeros(0), *(net.scores(group) for group in pieces(texts, piece))])
 
 
 def score_documents(docs: DataFrame, network) -> DataFrame:

@@ -8,8 +8,10 @@ ranks, their occurrences located by sampled suffix positions, and overlapping sp
 Items are taken in blocks of bounded size: each block is broadcast once and meets all documents.
 
 Cases: null or empty texts have no words and no hits; an item without words has no window; rows that
-repeat a doc_id or an item_id are taken each for itself (an item counts once a document); empty tables
-give no rows or no hits; other columns are ignored by the report and kept by the cleaner.
+repeat a doc_id or an item_id are taken each for itself (an item counts once a document); items without
+item_id are one item in the query and the cleaner, whose words hit and go like any others: it counts in
+n_items, and items_sha256, a hash of names, leaves it out (find_contamination passes them over unless
+`nameless` is set); empty tables give no rows or no hits; other columns are ignored by the report and kept by the cleaner.
 """
 
 from __future__ import annotations
@@ -41,11 +43,12 @@ REPORT = f"row bigint, doc_id bigint, n_words bigint, n_hit bigint, items array<
 class Phrases:
     """The windows of a block of items over a vocabulary of their words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple, set] = {}
-        items = sorted(items, key=lambda x: x[0])
-        self.items = sorted({i for i, _ in items})
+        order = lambda x: (x is None, x or "")
+        items = sorted(items, key=lambda x: order(x[0]))
+        self.items = sorted({i for i, _ in items}, key=order)
         at = {x: k for k, x in enumerate(self.items)}
         for name, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(FOLD).split())
@@ -128,9 +131,10 @@ def shards(batches, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
                 a, size = k + 1, 0
 
 
-def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator:
-    """Broadcasts of Phrases, one for each block of items of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).filter(F.col("item_id").isNotNull())
+def phrase_blocks(benchmark: DataFrame, window: int, nameless: bool = True) -> Iterator:
+    """Broadcasts of Phrases, one for each block of items of bounded size, with or without the items that have no item_id."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    items = items if nameless else items.filter(F.col("item_id").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(blocks):
@@ -167,9 +171,9 @@ def scan_blocks(docs: DataFrame, blocks: list) -> DataFrame:
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row", "doc_id", "n_words", hit, "items", "spans")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, nameless: bool = False) -> DataFrame:
     """For each document: words, words inside an occurrence of a window, items with occurrences, merged spans."""
-    return scan_blocks(docs, list(phrase_blocks(benchmark, window))).drop("row")
+    return scan_blocks(docs, list(phrase_blocks(benchmark, window, nameless))).drop("row")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -210,7 +214,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by windows of ten words of the benchmark items."""
-    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
     joined = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

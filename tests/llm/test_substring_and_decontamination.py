@@ -121,3 +121,21 @@ def test_empty(empty, benchmark, docs, spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.find_contamination(docs, none).filter("n_hit > 0").count() == 0
     assert decontam.remove_contamination(docs, none).count() == docs.count()
+
+
+def test_items_without_item_id_hit_as_in_the_oracle(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[30:])), (3, "clean")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, " ".join(words[5:17])), (None, " ".join(words[12:24])), ("a", " ".join(words[14:26])), (None, " ".join(words[40:50]))], "item_id string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontam.op10_decontamination(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontam.OP10_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {r[0]: r[2] for r in got.collect()} == {1: 21, 2: 10, 3: 0}
+    kept = {r.doc_id: r.text for r in decontam.remove_contamination(docs, items).collect()}
+    assert kept == {1: " ".join(words[:5] + words[26:30]), 2: " ".join(words[30:40] + words[50:]), 3: "clean"}

@@ -46,12 +46,18 @@ def paragraphs(html, least: int = 40, most: int = 80) -> Column:
     return F.slice(F.filter(found, lambda x: F.length(x) > least), 1, most)
 
 
+def blocks(html) -> Column:
+    """Texts of all paragraphs, second headings and list items that have any; a block inside another one is taken for itself."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<(p|h2|li)(?:\s[^>]*)?>(.*?)(?=</\1>|<(?:p|h2|li)[\s>]|</article>|$)"), F.lit(2))
+    return F.filter(F.transform(found, strip_tags), lambda x: x != "")
+
+
 def body(html) -> Column:
-    """JSON-LD body, or the article's paragraphs, or those of the page."""
+    """JSON-LD body, or all blocks of a page that has an article, or the first 80 long paragraphs of the page."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    article = F.regexp_extract(bare, r"(?is)<article[^>]*>(.*?)(?:</article>|$)", 1)
+    whole = F.when(bare.rlike(r"(?i)<article[\s>]"), blocks(bare))
     join = lambda x: F.array_join(x, "\n")
-    return F.coalesce(F.nullif(json_ld(html)["articleBody"], F.lit("")), F.nullif(join(paragraphs(article)), F.lit("")), join(paragraphs(bare)))
+    return F.coalesce(F.nullif(json_ld(html)["articleBody"], F.lit("")), F.nullif(join(whole), F.lit("")), join(paragraphs(bare)))
 
 
 def articles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -59,11 +65,11 @@ def articles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return pages.withColumns({"title": title(h), "published_at": published(h), "text": body(h)})
 
 
-def links(pages: DataFrame, key: str, html: str = "html", most: int = 100) -> DataFrame:
-    """The first `most` distinct links of a page in order, without fragments: (key, pos, href)."""
+def links(pages: DataFrame, key: str, html: str = "html", most: int | None = None) -> DataFrame:
+    """All distinct links of a page, or the first `most`, in order, without fragments: (key, pos, href)."""
     found = F.transform(F.regexp_extract_all(blank(F.col(html)), F.lit(r"""(?is)<a[^>]+href=["']([^"'#]+)"""), F.lit(1)), squeeze)
     distinct = F.array_distinct(F.filter(found, lambda x: x != ""))
-    return pages.select(key, F.posexplode(F.slice(distinct, 1, most)).alias("pos", "href"))
+    return pages.select(key, F.posexplode(distinct if most is None else F.slice(distinct, 1, most)).alias("pos", "href"))
 
 
 def same_site(links: DataFrame, pages: DataFrame, key: str, url: str = "url") -> DataFrame:

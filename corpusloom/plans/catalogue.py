@@ -239,7 +239,8 @@ def html_to_text_regex(spark, d):
 
 @query("WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=[\"'']([^\"''#]+)', 1) AS l FROM pages), f AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS k FROM m), u AS (SELECT page_id, trim(href) AS href, min(k) AS k FROM f WHERE trim(href) <> '' GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, href FROM u QUALIFY pos < 100")
 def link_extract(spark, d):
-    return H.links(load(spark, d, "pages"), "page_id")
+    """The first 100 links of a page, as its oracle has them."""
+    return H.links(load(spark, d, "pages"), "page_id", most=100)
 
 
 @query(f"SELECT page_id, coalesce({H1_SQL}, {H1_SQL.replace('h1', 'title')}, '') AS title FROM pages")

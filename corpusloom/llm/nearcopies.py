@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, hot_keys, materialize, salted_left_join
+from .common import bytes_of, discard, hot_keys, materialize, salted_left_join
 from .components import connected_components
 from .minhash import mix, shingle_hashes, word_hashes
 
@@ -186,7 +186,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = texts_of(docs).select("h", "text").join(wanted, "h").dropDuplicates(["node"])
     grams = materialize(sets(texts), "sets", slim=True)
     edges = materialize(verified(pairs, grams), "edges", slim=True)
+    discard(sizes, pairs)
     if many.isEmpty():
+        discard(met, grams)
         return edges
     roots = connected_components(edges)
     many = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -201,9 +203,11 @@ def group_rows(docs: DataFrame) -> DataFrame:
     prints = materialize(sketches(docs, late), "sketches")
     nodes = prints.groupBy("node").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes", slim=True)
+    rows = materialize(prints.groupBy("node", "h", "doc_id").agg(F.count(F.lit(1)).alias("again")), "rows", slim=True)
+    discard(prints)
     roots = connected_components(link_nodes(docs, nodes))
-    keys = prints.groupBy("node", "h", "doc_id").agg(F.count(F.lit(1)).alias("again"))
-    keys = keys.join(roots, "node", "left").select("h", "doc_id", "again", F.coalesce("root", "node").alias("root"))
+    discard(nodes)
+    keys = rows.join(roots, "node", "left").select("h", "doc_id", "again", F.coalesce("root", "node").alias("root"))
     keys = materialize(keys, "keys", slim=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
     groups = keys.groupBy("root").agg(first.alias("best"), F.sum("again").alias("size")).filter("size > 1")

@@ -84,6 +84,8 @@ REFUSALS = (
     "i’m sorry, but i can’t",
     "i am sorry, but i can't",
 )
+#: The refusal of a service, which generated texts may carry.
+SERVICE_REFUSAL = "я не могу обсуждать эту тему. давайте поговорим о чём-нибудь ещё"
 #: Stems of sensitive topics.
 TOPICS = {
     "religion": ["религ", "церков", "христиан", "ислам", "будд", "православ", "мусульман", "коран", "библи", "священ", "вера", "богослов", "бог"],

@@ -125,3 +125,9 @@ def greedy_matches(predicted, truth, least: float = 0.5) -> Column:
         return F.aggregate(predicted, state, step, lambda a: a["n"])
 
     return let(truth, count)
+
+
+def top(spans, k: int = 5, by: str = "confidence") -> Column:
+    """The k spans of highest confidence, best first; of equals, the one that starts first. Spans without confidence come last."""
+    keyed = F.transform(spans, lambda s: F.struct((-F.coalesce(s[by].cast("double"), F.lit(float("-inf")))).alias("k"), s["start"].alias("b"), s["end"].alias("e"), s.alias("s")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["s"])

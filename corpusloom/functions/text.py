@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
 
+#: Characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value, use) -> Column:
     """use(x) with x evaluated once, however often it occurs."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -20,7 +26,7 @@ def blank(c) -> Column:
 
 def strip(c) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c) -> Column:
@@ -32,6 +38,24 @@ def count_of(c, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("bigint")
 
 
+def guarded(test, count) -> Column:
+    """A count that is only taken where a cheap test shows that there may be one."""
+    return F.when(test, count).otherwise(F.lit(0).cast("bigint"))
+
+
+def has_any(c, *parts: str) -> Column:
+    """Whether one of some strings occurs, without a regular expression."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | c.contains(part)
+    return found
+
+
+def length_without(c, pattern: str) -> Column:
+    """Characters that no match of `pattern` holds. With a pattern of runs this counts the characters of a class in few steps."""
+    return F.length(F.regexp_replace(c, pattern, "")).cast("bigint")
+
+
 def word_count(c) -> Column:
     return count_of(blank(c), r"(?U)\S+")
 
@@ -139,12 +163,29 @@ def has_refusal(c) -> Column:
 
 def topic_flags(c, topics: dict[str, list[str]]) -> Column:
     """Names of the topics of which some word occurs."""
-    low = F.lower(blank(c))
-    return F.array_compact(F.array(*(F.when(F.exists(F.array(*map(F.lit, found)), lambda x: F.contains(low, x)), F.lit(name)) for name, found in topics.items())))
+    named = lambda low: F.array_compact(F.array(*(F.when(has_any(low, *found), F.lit(name)) for name, found in topics.items())))
+    return let(F.lower(blank(c)), named)
+
+
+def needle(pattern: str) -> str:
+    """The longest word that every match of a pattern has in lower case; empty where none is certain."""
+    while (bare := re.sub(r"(?<!\\)\((?:[^()\\]|\\.)*\)[?*+]?", " ", pattern)) != pattern:
+        pattern = bare
+    if re.search(r"(?<!\\)\|", pattern):
+        return ""
+    pattern = re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", "\0", pattern)  # classes and escapes
+    pattern = re.sub(r"(?s).(?:[?*]|\{[^}]*\})", "\0", pattern)  # what may be absent
+    return max(re.findall(r"[\w:]+", pattern.lower()), key=len, default="")
+
+
+def folded(c) -> Column:
+    """Lower case as case-insensitive patterns see it."""
+    return F.replace(F.lower(blank(c)), F.lit("ſ"), F.lit("s"))
 
 
 def leak_count(c, leaks=P.LEAKS_STRONG) -> Column:
-    return sum((blank(c).rlike(p).cast("int") for p in leaks), F.lit(0))
+    """How many patterns occur; each is only searched in texts that have its longest word."""
+    return let(folded(c), lambda low: sum((F.when(low.contains(needle(p)), blank(c).rlike(p).cast("int")).otherwise(0) for p in leaks), F.lit(0)))
 
 
 def has_prompt_leak(c) -> Column:
@@ -153,8 +194,9 @@ def has_prompt_leak(c) -> Column:
 
 def injections(c, most: int = 5) -> Column:
     """The first texts that try to instruct the judge."""
-    hits = F.concat(*(F.regexp_extract_all(blank(c), F.lit(f"({p})"), F.lit(1)) for p in P.INJECTIONS))
-    return F.slice(hits, 1, most)
+    none = F.array().cast("array<string>")
+    of = lambda low, p: F.when(low.contains(needle(p)), F.regexp_extract_all(blank(c), F.lit(f"({p})"), F.lit(1))).otherwise(none)
+    return F.slice(let(folded(c), lambda low: F.concat(*(of(low, p) for p in P.INJECTIONS))), 1, most)
 
 
 def strip_fences(c) -> Column:
@@ -177,3 +219,8 @@ def ui_bucket(score, ai: float = 75, mixed: float = 35) -> Column:
 
 def confidence_level(score) -> Column:
     return F.when(score > 30, "High").when(score > 15, "Medium").otherwise("Low")
+
+
+def drop_refusal(c) -> Column:
+    """The text without the service's refusal, whatever its case, stripped."""
+    return strip(F.regexp_replace(blank(c), "(?iu)" + re.escape(P.SERVICE_REFUSAL), ""))

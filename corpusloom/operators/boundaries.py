@@ -150,14 +150,24 @@ def is_portal_line(line, variant: str) -> Column:
     return F.length(line).between(1, 260) & hit
 
 
-def portal_hits(c, variant: str, head: int = 40, tail: int = 45) -> Column:
-    """Portal lines among the first and last lines."""
+#: What a text has at least if one of its lines is a portal's.
+PORTAL_SIGNS = {
+    "pravda": "[Ѐ-ӿ]",
+    "pravda_ua": r"(?i)[Ѐ-ӿ]|redaction@|press@|@pravda|tel\.?\s*[:\-]?\s*\+380",
+    "pikabu": r"(?im)[Ѐ-ӿ·|•]|^\s*it\s*$",
+    "mail_ru": "(?i)[Ѐ-ӿ]|mail",
+}
+
+
+def portal_hits(c, variant: str, head: int = 40, tail: int = 45, own: Column | None = None) -> Column:
+    """Portal lines among the first and last lines; `own`: the stripped lines, if a frame has them."""
 
     def count(own):
         n = F.size(own)
-        return F.when(n >= 3, F.size(F.filter(own, lambda x, i: ((i < head) | (i >= n - tail)) & is_portal_line(x, variant)))).otherwise(0)
+        near = F.filter(own, lambda x, i: ((i < head) | (i >= n - tail)) & (x != ""))
+        return F.when(n >= 3, F.size(F.filter(near, lambda x: is_portal_line(x, variant)))).otherwise(0)
 
-    return let(stripped_lines(c), count)
+    return F.when(blank(c).rlike(PORTAL_SIGNS[variant]), let(stripped_lines(c), count) if own is None else count(own)).otherwise(0)
 
 
 def drop_portal(c, variant: str, head: int = 45, tail: int = 55) -> Column:
@@ -185,7 +195,7 @@ def trim_pikabu_tail(c, scan: int = 90) -> Column:
     return let(stripped_lines(c), cut)
 
 
-def next_article_bleed(c, share: float = 0.38) -> Column:
+def next_article_bleed(c, share: float = 0.38, own: Column | None = None) -> Column:
     """Whether the last lines carry signs of another article: codes count two, tail headers one, three are enough."""
 
     def found(own):
@@ -193,7 +203,7 @@ def next_article_bleed(c, share: float = 0.38) -> Column:
         points = F.aggregate(tail, F.lit(0), lambda a, x: a + x.rlike(P.NEXT_ARTICLE).cast("int") * 2 + is_tail_header(x).cast("int"))
         return (F.size(own) >= 18) & (points >= 3)
 
-    return let(Q.kept_lines(c), found)
+    return let(Q.kept_lines(c), found) if own is None else found(own)
 
 
 def drop_title_prefix(c, title) -> Column:
@@ -205,10 +215,11 @@ def drop_title_prefix(c, title) -> Column:
 def quality(df: DataFrame, text: str = "text") -> DataFrame:
     """quality.quality with portal walls and signs of a next article: adds portal_chrome_hits and next_article_bleed."""
     t, n, c = F.col(text), F.length(blank(F.col(text))), F.col
-    df = df.withColumns({
-        "_wall": portal_hits(t, "pikabu", 52, 78),
-        "portal_chrome_hits": F.greatest(portal_hits(t, "pravda"), portal_hits(t, "pravda_ua", 52, 62), portal_hits(t, "pikabu"), portal_hits(t, "mail_ru")),
-        "next_article_bleed": next_article_bleed(t),
+    every, hits = F.col("_every"), lambda variant, *zone: portal_hits(t, variant, *zone, own=F.col("_every"))
+    df = Q.with_lines(df, text).withColumns({
+        "_wall": hits("pikabu", 52, 78),
+        "portal_chrome_hits": F.greatest(hits("pravda"), hits("pravda_ua", 52, 62), hits("pikabu"), hits("mail_ru")),
+        "next_article_bleed": next_article_bleed(t, own=F.filter(every, lambda x: x != "")),
     })
     heavy = (c("_wall") >= 10) & (n > 550)
     unsure = c("probable_document_type").isin("mixed_unknown", "html_news_like")

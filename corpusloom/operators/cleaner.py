@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import blank, let, lines, strip, strip_tags
+from ..functions.text import blank, folded, let, lines, needle, strip, strip_tags
 from . import boundaries as B
 from . import quality as Q
 
@@ -76,7 +76,11 @@ def profile_name(source, outlet=None, text_source=None) -> Column:
 
 
 def drop(c, pattern: str, by: str = "") -> Column:
-    return F.regexp_replace(c, pattern, by)
+    """Matches replaced; a text without the longest word of the pattern isn't searched."""
+    word = needle(pattern)
+    if len(word) < 3:
+        return F.regexp_replace(c, pattern, by)
+    return let(c, lambda t: F.when(folded(t).contains(word), F.regexp_replace(t, pattern, by)).otherwise(t))
 
 
 def normalize_characters(c) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import ARTICLE_COLUMNS, ARTICLE_FIELDS
+from .prefix import RANGES, cuts, range_of
 
 #: Columns of older files and their present names.
 RENAMES = {"annotation": "description", "topic": "query", "author": "authors"}
@@ -47,16 +48,17 @@ def keep_last(df: DataFrame, key: str, stamp: str, order: str) -> DataFrame:
     return keep_first(df, key, [F.col(stamp).desc_nulls_last(), F.col(order).desc()])
 
 
-def reindex(df: DataFrame, order, name: str = "id", bucket: int = 1 << 16) -> DataFrame:
-    """Numbers 1..n in the order of a numeric column, without one task for all rows.
+def reindex(df: DataFrame, order: str, name: str = "id", ranges: int = RANGES) -> DataFrame:
+    """Numbers 1..n in the order of a numeric column, without one task for all rows; rows without a value come last.
 
-    Rows are numbered within ranges of the column; the ranges' sizes are added up from a table of one row a range.
+    Rows are numbered within ranges of the column, cut at its quantiles; the ranges' sizes are added up from a
+    table of one row a range.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / bucket))
+    ranged = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts(df, order, ranges)))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_in", inside).join(before, "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(order)))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
 
 
 def with_reason(df: DataFrame, rules: list[tuple[str, Column]], name: str = "remove_reason") -> DataFrame:
@@ -78,7 +80,10 @@ def page_rules(url: str = "url", html: str = "html", title: str = "title") -> li
 
 
 def url_ranked(df: DataFrame, url: str, order: str) -> DataFrame:
-    return df.withColumn("norm_url", X.normalize_url(F.col(url))).withColumn("url_rank", F.row_number().over(Window.partitionBy("norm_url").orderBy(order)))
+    """Adds norm_url and url_rank, 1 for the first row of a URL; rows without a URL have no rank and are not sorted together."""
+    df = df.withColumn("norm_url", X.normalize_url(F.col(url)))
+    alone = F.when(F.col("norm_url") == "", F.xxhash64(order))
+    return df.withColumn("url_rank", F.when(F.col("norm_url") != "", F.row_number().over(Window.partitionBy("norm_url", alone).orderBy(order))))
 
 
 def export_rules(least: int = 300, shell: str | None = None) -> list[tuple[str, Column]]:
@@ -88,9 +93,10 @@ def export_rules(least: int = 300, shell: str | None = None) -> list[tuple[str,
     return rules + ([("shell_row", (F.col("source") == shell) & empty & (F.trim(X.blank(F.col("title"))) == ""))] if shell else [])
 
 
-def tasks_left(chunks: DataFrame, strategies: DataFrame, done: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunk and strategy pairs whose derived id isn't done: strategies are a handful of literal rows."""
-    pairs = chunks.join(F.broadcast(strategies)).withColumn("task_id", F.concat_ws("__", F.col(key).cast("string"), F.col("strategy")))
+def tasks_left(chunks: DataFrame, strategies: DataFrame, done: DataFrame, key: str = "chunk_id", most: int = 1000) -> DataFrame:
+    """Chunk and strategy pairs whose derived id isn't done: a broadcast of up to `most` strategies, a distributed product beyond."""
+    few = strategies.limit(most + 1).count() <= most
+    pairs = chunks.crossJoin(F.broadcast(strategies) if few else strategies).withColumn("task_id", F.concat_ws("__", F.col(key).cast("string"), F.col("strategy")))
     return pairs.join(done.select("task_id"), "task_id", "left_anti")
 
 
@@ -120,3 +126,17 @@ def requests(df: DataFrame, kind: str = "content_type", body: str = "text") -> t
     """Valid requests with stripped texts, and rejected ones with a reason."""
     df = df.withColumn(body, X.strip(F.col(body)))
     return split_ledger(with_reason(df, [("not_pdf", (F.col(kind) != "text") & (F.col(kind) != "application/pdf")), ("empty_text", X.blank(F.col(body)) == "")]))
+
+
+def generation_coverage(df: DataFrame, strategies: list[str], key: str = "chunk_id", label: str = "label", strategy: str = "strategy") -> DataFrame:
+    """(strategy, n, expected, missing, pct) for each strategy and `__all__`: generated chunks (label 1 or 2) against one for each human chunk (label 0)."""
+    made = F.col(label).isin(1, 2)
+    aggs = [F.count_distinct(F.when(F.col(label) == 0, F.col(key))).alias("_human"), F.count(F.when(made, 1)).alias("_all"), *(F.count(F.when(made & (F.col(strategy) == s), 1)).alias(f"_s{k}") for k, s in enumerate(strategies))]
+    row = lambda name, n, want: F.struct(F.lit(name).alias("strategy"), n.alias("n"), want.alias("expected"), (want - n).alias("missing"), F.round(F.coalesce(F.try_divide(n * 100.0, want), F.lit(0.0)), 1).alias("pct"))
+    rows = [row("__all__", F.col("_all"), F.col("_human") * len(strategies)), *(row(s, F.col(f"_s{k}"), F.col("_human") * 1) for k, s in enumerate(strategies))]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def stop_words(*lists: list[str]) -> list[str]:
+    """The words of all lists, each once, in order of first occurrence."""
+    return list(dict.fromkeys(w for words in lists for w in words))

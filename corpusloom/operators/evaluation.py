@@ -100,18 +100,72 @@ def entity_metrics(tokens: DataFrame, key: str, index: str, truth: str, predicte
     return sums.select("hit", "n_pred", "n_true", zero(F.col("hit"), F.col("n_pred")).alias("precision"), zero(F.col("hit"), F.col("n_true")).alias("recall"), zero(2.0 * F.col("hit"), F.col("n_pred") + F.col("n_true")).alias("f1"))
 
 
-def text_model(train: DataFrame, text: str = "text", label: str = "label", terms: int = 5000, min_df: float = 5.0, max_df: float = 0.9, reg: float = 0.1):
-    """TF-IDF of words and pairs with balanced logistic regression, as a fitted pyspark.ml pipeline."""
+def text_model(train: DataFrame, text: str = "text", label: str = "label", terms: int = 5000, min_df: float = 5.0, max_df: float = 0.9, reg: float = 0.1, numbers: tuple[str, ...] = (), stop: tuple[str, ...] = ()):
+    """TF-IDF of words and pairs, without stop words, beside standardised numeric columns, with balanced logistic regression: a fitted pyspark.ml pipeline.
+
+    `terms` words and as many pairs at most; nulls in numeric columns count as 0.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, VectorAssembler
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
 
-    stages = [RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="_w", outputCol="_b")]
+    stages = [RegexTokenizer(inputCol=text, outputCol="_a", pattern=r"[^\p{L}\p{N}]+"), StopWordsRemover(inputCol="_a", outputCol="_w", stopWords=list(stop)), NGram(n=2, inputCol="_w", outputCol="_b")]
     for name in ("_w", "_b"):
         stages += [CountVectorizer(inputCol=name, outputCol=f"{name}c", vocabSize=terms, minDF=min_df, maxDF=max_df), IDF(inputCol=f"{name}c", outputCol=f"{name}i")]
-    stages += [VectorAssembler(inputCols=["_wi", "_bi"], outputCol="_v"), Normalizer(inputCol="_v", outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, weightCol="_weight", regParam=reg, maxIter=50)]
-    sizes = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    stages += [VectorAssembler(inputCols=["_wi", "_bi"], outputCol="_v"), Normalizer(inputCol="_v", outputCol="_t")]
+    if numbers:
+        stages += [VectorAssembler(inputCols=list(numbers), outputCol="_n", handleInvalid="skip"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True)]
+    stages += [VectorAssembler(inputCols=["_t", "_s"] if numbers else ["_t"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, weightCol="_weight", regParam=reg, maxIter=50)]
+    return Pipeline(stages=stages).fit(balanced(train.na.fill(0, list(numbers)) if numbers else train, label))
+
+
+def balanced(df: DataFrame, label: str) -> DataFrame:
+    """Adds _weight: rows over classes times rows of the own class."""
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     weight, total = F.lit(1.0), sum(sizes.values())
     for k, n in sizes.items():
         weight = F.when(F.col(label) == k, total / (len(sizes) * n)).otherwise(weight)
-    return Pipeline(stages=stages).fit(train.withColumn("_weight", weight))
+    return df.withColumn("_weight", weight)
+
+
+def cross_validated(df: DataFrame, key: str, fit, label: str = "label", folds: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, n, accuracy): each fold, drawn by a hash of the key, judged by the model that `fit` makes of the others."""
+    own = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")).persist()
+    parts = []
+    for k in range(folds):
+        judged = fit(own.filter(F.col("_fold") != k)).transform(own.filter(F.col("_fold") == k))
+        parts.append(judged.select(F.lit(k).alias("fold"), (F.col("prediction") == F.col(label)).cast("int").alias("hit")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
+def forest_importance(df: DataFrame, columns: list[str], label: str = "label", trees: int = 100, seed: int = 42) -> DataFrame:
+    """(feature, importance, place) of numeric columns in a random forest, the most important first."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0, columns))
+    model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(rows)
+    return ordered_weights(df, dict(zip(columns, model.featureImportances.toArray().tolist(), strict=True)), "importance")
+
+
+def ordered_weights(df: DataFrame, weights: dict[str, float], name: str = "weight") -> DataFrame:
+    """(feature, weight, place): features by absolute weight, of equals by name."""
+    ranked = sorted(weights.items(), key=lambda x: (-abs(x[1]), x[0]))
+    return df.sparkSession.createDataFrame([(f, float(w), k) for k, (f, w) in enumerate(ranked, 1)], f"feature string, {name} double, place int")
+
+
+def term_weights(model, df: DataFrame) -> DataFrame:
+    """Weights of the words and pairs of a text_model, by absolute value; numeric columns as `number k`."""
+    terms = [t for stage in model.stages if hasattr(stage, "vocabulary") for t in stage.vocabulary]
+    values = model.stages[-1].coefficients.toArray().tolist()
+    names = terms + [f"number {k}" for k in range(len(values) - len(terms))]
+    return ordered_weights(df, dict(zip(names, values, strict=True)))
+
+
+def experiments(spark, folder: str, metric: str, descending: bool = True) -> DataFrame:
+    """One row for each metrics file (JSON) of a folder, best first, with the file's name."""
+    rows = spark.read.option("multiLine", "true").json(folder).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return rows.orderBy(F.col(metric).desc_nulls_last() if descending else F.col(metric).asc_nulls_last(), "file")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import blank, count_of, let, lines, strip
+from ..functions.text import blank, count_of, guarded, has_any, length_without, let, lines, strip
 
 ARTIFACTS = ("emails", "urls", "udk_bbk", "doi", "access_mode", "bibliography", "url_fragments", "ocr_hyphens", "shy_hyphens", "ctrl_chars", "email_lines", "bom")
 NOISE = ("ocr_catalog_like_tokens", "digit_letter_mixed_tokens", "suspicious_lines", "repeated_line_kinds", "repeated_line_kinds_soft", "standalone_page_like_lines", "catalog_like_lines", "issn_like_lines", "english_abstract_marker", "reflective_journal_markers", "front_matter_line_hits_head")
@@ -19,22 +20,41 @@ def any_of(*conditions) -> Column:
 
 
 def artifacts(c) -> dict[str, Column]:
-    """Twelve counters of layout artefacts."""
-    t = blank(c)
-    found = {name: count_of(t, p) for name, p in zip(("emails", "urls", "udk_bbk", "doi", "access_mode"), (P.EMAIL, P.URL, P.CLASSIFICATION_LINE, P.DOI, P.ACCESS_MODE), strict=True)}
-    found["bibliography"] = (t.rlike(P.BIBLIOGRAPHY_LINE) | t.rlike(P.BIBLIOGRAPHY_INLINE)).cast("bigint")
-    found["url_fragments"] = count_of(t, P.URL_FRAGMENT)
-    found["ocr_hyphens"] = count_of(t, P.LINE_HYPHEN)
+    """Twelve counters of layout artefacts.
+
+    What no text without some string can match is only searched where that string occurs.
+    """
+    t, low = blank(c), F.lower(blank(c))
+    found = {
+        "emails": guarded(t.contains("@"), count_of(t, P.EMAIL)),
+        "urls": guarded(t.contains("://"), count_of(t, P.URL)),
+        "udk_bbk": guarded(has_any(low, "удк", "ббк", "udc", "bbk", "doi"), count_of(t, P.CLASSIFICATION_LINE)),
+        "doi": guarded(t.contains("10."), count_of(t, P.DOI)),
+        "access_mode": guarded(low.contains("доступа"), count_of(t, P.ACCESS_MODE)),
+    }
+    headers = has_any(low, "литератур", "источник", "библиограф", "reference", "bibliograph")
+    found["bibliography"] = F.when(headers, t.rlike(P.BIBLIOGRAPHY_LINE) | t.rlike(P.BIBLIOGRAPHY_INLINE)).otherwise(False).cast("bigint")
+    found["url_fragments"] = guarded(t.contains("/"), count_of(t, P.URL_FRAGMENT))
+    found["ocr_hyphens"] = guarded(t.contains("-"), count_of(t, P.LINE_HYPHEN))
     found["shy_hyphens"] = F.length(t) - F.length(F.replace(t, F.lit(P.SOFT_HYPHEN), F.lit("")))
-    found["ctrl_chars"] = count_of(t, P.CONTROL)
-    found["email_lines"] = count_of(t, P.EMAIL_LINE)
+    found["ctrl_chars"] = F.length(t) - length_without(t, P.CONTROL)
+    found["email_lines"] = guarded(low.contains("mail"), count_of(t, P.EMAIL_LINE))
     found["bom"] = F.length(t) - F.length(F.replace(t, F.lit("﻿"), F.lit("")))
     return {k: v.cast("bigint") for k, v in found.items()}
 
 
 def is_meta_line(line) -> Column:
     """A line of front matter or boilerplate; expects a stripped line."""
-    return (F.length(line) > 0) & (F.length(line) <= 240) & any_of(*(line.rlike(p) for p in P.META_LINES), line.rlike(P.RUNNING_HEADER))
+    return F.length(line).between(1, 240) & (line.rlike(ANY_META_LINE) | is_running_header(line))
+
+
+#: All of P.META_LINES as one pattern, each with its own flags.
+ANY_META_LINE = "|".join(f"(?{m[1]}:{p[m.end():]})" if (m := re.match(r"\(\?([a-zA-Z]+)\)", p)) else f"(?:{p})" for p in P.META_LINES)
+
+
+def is_running_header(line) -> Column:
+    """A known running header; every one of them has one of these words."""
+    return has_any(F.lower(line), "журнал", "академия", "izvestiya", "исследования", "issn") & line.rlike(P.RUNNING_HEADER)
 
 
 def kept_lines(c) -> Column:
@@ -60,25 +80,27 @@ def repeated_kinds(array, least: int) -> Column:
     return let(F.array_sort(F.filter(array, lambda x: F.length(x).between(18, 220))), count).cast("bigint")
 
 
-def noise(c) -> dict[str, Column]:
-    """Eleven counters of noise."""
-    t, own = blank(c), kept_lines(c)
+def noise(c, every=None, own=None) -> dict[str, Column]:
+    """Eleven counters of noise. `every` and `own`: the stripped lines and those that aren't blank, if a frame has them."""
+    t = blank(c)
+    every = F.transform(lines(c), strip) if every is None else every
+    own = kept_lines(c) if own is None else own
     head = lambda n: F.slice(own, 1, n)
     return dict(
         zip(
             NOISE,
             (
-                count_of(t, P.OCR_CATALOGUE),
-                count_of(t, P.DIGIT_LETTER),
+                guarded(t.rlike(r"(?U)[Qq]\d|2[Qq]"), count_of(t, P.OCR_CATALOGUE)),
+                guarded(t.rlike(r"(?U)\d\p{L}|\p{L}\d"), count_of(t, P.DIGIT_LETTER)),
                 line_hits(head(120), lambda x: x.rlike(P.EDITORIAL_LINE) | x.rlike(P.COPYRIGHT_LINE)),
                 repeated_kinds(own, 4),
                 repeated_kinds(own, 2),
                 line_hits(own, lambda x: x.rlike(P.PAGE_NUMBER)),
                 line_hits(own, lambda x: x.rlike(P.CATALOGUE_LINE)),
                 line_hits(own, lambda x: x.rlike(P.ISSN_FULL_LINE)),
-                t.rlike(P.ABSTRACT_MARK).cast("bigint"),
-                line_hits(head(60), lambda x: x.rlike(P.RUNNING_HEADER)),
-                line_hits(F.slice(F.transform(lines(c), strip), 1, 80), is_meta_line),
+                guarded(F.lower(t).contains("abstract"), t.rlike(P.ABSTRACT_MARK).cast("bigint")),
+                line_hits(head(60), is_running_header),
+                line_hits(F.slice(every, 1, 80), is_meta_line),
             ),
             strict=True,
         )
@@ -86,15 +108,15 @@ def noise(c) -> dict[str, Column]:
 
 
 def cyrillic(c) -> Column:
-    return count_of(c, r"[Ѐ-ӿ]")
+    return length_without(c, "[^Ѐ-ӿ]+")
 
 
 def latin(c) -> Column:
-    return count_of(c, "[a-zA-Z]")
+    return length_without(c, "[^a-zA-Z]+")
 
 
 def letters(c) -> Column:
-    return count_of(c, r"\p{L}")
+    return length_without(c, r"\P{L}+")
 
 
 def body_line_score(line) -> Column:
@@ -106,14 +128,19 @@ def body_line_score(line) -> Column:
     return F.when(ok, F.least(F.lit(1.0), score)).otherwise(0.0)
 
 
+def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _every, the stripped lines, and _own, those that aren't blank: cut once for all rules that read them."""
+    return df.withColumn("_every", F.transform(lines(F.col(text)), strip)).withColumn("_own", F.filter("_every", lambda x: x != ""))
+
+
 def with_noise(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumns(noise(F.col(text)))
+    return with_lines(df, text).withColumns(noise(F.col(text), F.col("_every"), F.col("_own"))).drop("_every", "_own")
 
 
-def document_type(df: DataFrame, text: str = "text") -> DataFrame:
+def document_type(df: DataFrame, text: str = "text", own: Column | None = None) -> DataFrame:
     """Adds four additive scores and probable_document_type to a frame that has the noise vector."""
     t = blank(F.col(text))
-    n, own = F.length(t), kept_lines(F.col(text))
+    n, own = F.length(t), kept_lines(F.col(text)) if own is None else own
     count, head = F.greatest(F.size(own), F.lit(1)), F.slice(own, 1, 40)
     mean = F.aggregate(head, F.lit(0.0), lambda a, x: a + F.length(x)) / F.greatest(F.size(head), F.lit(1))
     add = lambda *terms: F.least(F.lit(1.0), sum((F.when(test, w).otherwise(0.0) for test, w in terms), F.lit(0.0)))
@@ -144,12 +171,13 @@ def quality(df: DataFrame, text: str = "text", kind: Column | None = None, more:
     `kind` overrides the document type where it isn't null; any of `more` quarantines as well.
     """
     t = blank(F.col(text))
-    df = document_type(with_noise(df, text), text)
+    df = with_lines(df, text)
+    df = document_type(df.withColumns(noise(F.col(text), F.col("_every"), F.col("_own"))), text, F.col("_own"))
     if kind is not None:
         df = df.withColumn("probable_document_type", F.coalesce(kind, "probable_document_type"))
     found = artifacts(F.col(text))
-    n, solid, c = F.length(t), count_of(t, r"(?U)\S"), F.col
-    odd = count_of(t, r"[\p{So}\p{Sk}\p{Sm}]")
+    n, solid, c = F.length(t), length_without(t, r"(?U)\s+"), F.col
+    odd = F.length(t) - length_without(t, r"[\p{So}\p{Sk}\p{Sm}]+")
     df = df.withColumns({"_odd": F.coalesce(F.try_divide(odd, solid), F.lit(0.0)), "_biblio": found["bibliography"], "_urls": found["urls"], "_emails": found["emails"], "_cyr": cyrillic(t), "_lat": latin(t)})
     front = F.least(F.lit(1.0), c("front_matter_line_hits_head") / 45.0)
     repeated = F.least(F.lit(1.0), c("repeated_line_kinds") / 12.0)
@@ -165,7 +193,7 @@ def quality(df: DataFrame, text: str = "text", kind: Column | None = None, more:
         c("quality_score") < 42, c("ocr_catalog_like_tokens") > 40, c("_odd") > 0.085, (c("repeated_line_kinds") > 8) & (n > 500),
         (c("probable_document_type") == "bibliographic_review_like") & (c("bibliographic_score") > 0.72), (F.length(strip(t)) < 380) & (n > 1200), *more,
     )
-    return df.withColumns({"suspicious_symbol_ratio": F.round("_odd", 5), "quarantine_candidate": quarantine}).drop("_odd", "_biblio", "_urls", "_emails", "_cyr", "_lat")
+    return df.withColumns({"suspicious_symbol_ratio": F.round("_odd", 5), "quarantine_candidate": quarantine}).drop("_odd", "_biblio", "_urls", "_emails", "_cyr", "_lat", "_every", "_own")
 
 
 def artifact_totals(df: DataFrame, text: str = "text") -> DataFrame:

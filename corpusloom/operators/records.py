@@ -83,9 +83,13 @@ def records(audited: DataFrame) -> DataFrame:
 
 
 def flag_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds text_hash, copies and is_duplicate: exact texts, counted over the whole frame."""
+    """Adds text_hash, copies and is_duplicate: exact texts, counted over the whole frame.
+
+    Hashes are counted, partly before they travel, and only those with copies are joined back: no task holds all rows of a text.
+    """
     hashed = df.withColumn("text_hash", F.sha2(X.blank(F.col(text)), 256))
-    return hashed.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("text_hash"))).withColumn("is_duplicate", F.col("copies") > 1)
+    counts = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return hashed.join(counts, "text_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint"))).withColumn("is_duplicate", F.col("copies") > 1)
 
 
 def is_soft(flag) -> Column:
@@ -94,7 +98,7 @@ def is_soft(flag) -> Column:
 
 def review(df: DataFrame, policy: Policy = Policy(), flags: str = "flags") -> DataFrame:  # noqa: B008
     """Adds resolved_flags, remaining_flags and the reviewed status of records with flags, judge_avg, char_count and text."""
-    own = F.col(flags)
+    own, df = F.col(flags), df.withColumn("_leak", X.has_prompt_leak(F.col("text")) if policy.confirm_leaks else F.lit(True))
     tests = [
         lambda x: x.isin(*METADATA) & policy.ignore_metadata,
         lambda x: x.startswith("topic_flag_") & policy.allow_topics,
@@ -102,7 +106,7 @@ def review(df: DataFrame, policy: Policy = Policy(), flags: str = "flags") -> Da
         lambda x: (x == "missing_judge_avg_for_synthetic") & policy.allow_missing_judge,
         lambda x: (x == "low_judge_avg") & F.coalesce(F.col("judge_avg") >= policy.relaxed_judge, F.lit(False)),
         lambda x: (x == "too_short_text") & (F.col("char_count") >= policy.short_but_kept),
-        lambda x: (x == "prompt_leak_pattern") & policy.confirm_leaks & ~X.has_prompt_leak(F.col("text")),
+        lambda x: (x == "prompt_leak_pattern") & ~F.col("_leak"),
         lambda x: (x == "exact_duplicate_text") & policy.deduplicate,
     ]
 
@@ -116,7 +120,7 @@ def review(df: DataFrame, policy: Policy = Policy(), flags: str = "flags") -> Da
     clean = F.size("remaining_flags") == 0
     if policy.allow_remaining_soft:
         clean = clean | F.forall("remaining_flags", is_soft)
-    return df.withColumn("reviewed_status", F.when(clean, "clean").otherwise("quarantine"))
+    return df.withColumn("reviewed_status", F.when(clean, "clean").otherwise("quarantine")).drop("_leak")
 
 
 def best_of_duplicates(df: DataFrame, order: str, status: str = "status") -> DataFrame:
@@ -134,7 +138,7 @@ def duplicate_report(ranked: DataFrame, key: str) -> DataFrame:
 def group_split(df: DataFrame, group: str, test: float = 0.1, validation: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds split so that a group is never divided: groups are ranked by a hash, and the first ones are test, the next validation.
 
-    The rank is counted by prefix of the hash, so no single task sorts all groups.
+    The rank is counted by prefix of the hash, so no single task sorts all groups. Rows without a group are one group.
     """
     groups = df.select(group).distinct().withColumn("_h", F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed))))).withColumn("_b", F.substring("_h", 1, 2))
     sizes = groups.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -143,7 +147,7 @@ def group_split(df: DataFrame, group: str, test: float = 0.1, validation: float
     size = lambda share: F.when(F.col("_all") >= 3, F.greatest(F.lit(1), F.round(F.col("_all") * share))).otherwise(F.round(F.col("_all") * share)) if share else F.lit(0)
     n_test, n_val = size(test), size(validation)
     split = F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "validation").otherwise("train")
-    return df.join(ranked.select(group, split.alias("split")), group)
+    return df.join(ranked.select(F.col(group).alias("_group"), split.alias("split")), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def leakage(df: DataFrame, source: str, split: str = "split") -> DataFrame:
@@ -162,3 +166,47 @@ def flag_rows(df: DataFrame, key: str, flags: str) -> DataFrame:
 
 def issue_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.concat("issues", "fatal_issues")).alias("issue")).groupBy("issue").count()
+
+
+def flag_matrix(df: DataFrame, key: str, flags: str) -> DataFrame:
+    """Rows of each key and flag, keys rising, flags of a key by frequency: (key, flag, n, place)."""
+    counts = df.select(key, F.explode_outer(flags).alias("flag")).groupBy(key, F.coalesce("flag", F.lit("__no_flags__")).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "flag")))
+
+
+def dataset_summary(df: DataFrame, distributions: list[str], numbers: list[str], part: str, whole: str) -> DataFrame:
+    """(section, name, value): rows, counts of each value of some columns, six statistics of others, and sum(part) over sum(whole).
+
+    Two passes over the rows: one grouping by (column, value), one row of statistics.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("section"), F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("name")) for c in distributions)))
+    counted = df.select(pairs.alias("x")).groupBy("x.section", "x.name").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    stats = {"count": F.count, "min": F.min, "mean": F.avg, "median": lambda x: F.percentile(x, 0.5), "max": F.max, "std": F.stddev_pop}
+    cells = [("dataset", "rows", F.count(F.lit(1))), ("dataset", "overall_ratio", F.round(F.coalesce(F.try_divide(F.sum(F.col(part).cast("double")), F.sum(whole)), F.lit(0.0)), 6))]
+    cells += [(f"{c}_stats", n, F.round(f(F.col(c).cast("double")).cast("double"), 6)) for c in numbers for n, f in stats.items()]
+    one = df.agg(*(v.alias(f"c{k}") for k, (_, _, v) in enumerate(cells)))
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.col(f"c{k}").cast("double").alias("value")) for k, (s, n, _) in enumerate(cells))))
+    return counted.unionByName(one.select(rows.alias("x")).select("x.*"))
+
+
+class EmptySplit(ValueError):
+    """A split without rows."""
+
+
+def prepare(chunks: DataFrame, policy: Policy = Policy(), group: str = "article_id", order: str = "chunk_id", check: bool = True) -> DataFrame:  # noqa: B008
+    """Chunks to training records: audit, copies flagged, flags reviewed, the best of equal texts kept, groups split.
+
+    Rows that the audit drops or the review leaves in quarantine go. With `check`, a split without rows is an error.
+    The audited rows are persisted, since counting copies and splitting groups read them several times.
+    """
+    kept = flag_duplicates(audit(chunks).filter(F.col("status") != "drop").persist())
+    copy = F.when(F.col("is_duplicate"), F.array(F.lit("exact_duplicate_text"))).otherwise(F.array().cast("array<string>"))
+    clean = review(kept.withColumn("flags", F.array_union("flags", copy)), policy).filter(F.col("reviewed_status") == "clean")
+    best = best_of_duplicates(clean, order, "reviewed_status").filter("dup_rank = 1").persist()
+    out = group_split(best, group)
+    if check:
+        found = {r[0] for r in out.select("split").distinct().collect()}
+        missing = sorted({"train", "validation", "test"} - found)
+        if missing:
+            raise EmptySplit(", ".join(missing))
+    return out

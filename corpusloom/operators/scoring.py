@@ -117,3 +117,10 @@ def best_attempt(attempts: DataFrame, accept: float = 3.0, last: int = 3) -> Dat
     ok = ~refused & ((F.col("judge_avg") > accept) | ((F.col("attempt") >= last) & (F.col("judge_avg") >= accept)))
     grouped = attempts.groupBy("chunk_id", "strategy").agg(F.min(F.when(ok, F.col("attempt"))).alias("accepted"), F.max_by("attempt", F.when(~refused, F.col("judge_avg"))).alias("best"), F.max(F.when(~refused, F.col("judge_avg"))).alias("best_avg"), F.count(F.lit(1)).alias("attempts_made"))
     return grouped.withColumn("chosen", F.coalesce("accepted", "best")).withColumn("reason", F.when(F.col("accepted").isNull(), "LOW_SCORE"))
+
+
+def sequence_log_probs(tokens: DataFrame, key: str, log_prob: str, pad) -> DataFrame:
+    """Of each sequence: tokens that aren't padding, the sum and the mean of their log-probabilities (0 where there are none)."""
+    real = F.when(~F.coalesce(pad, F.lit(False)), F.col(log_prob))
+    sums = tokens.groupBy(key).agg(F.count(real).alias("n_tokens"), F.coalesce(F.sum(real), F.lit(0.0)).alias("total"))
+    return sums.withColumn("mean", F.coalesce(F.try_divide("total", "n_tokens"), F.lit(0.0)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .prefix import running_sums
+from .prefix import cuts, range_of, running_sums
 
 
 def share(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
@@ -138,9 +139,38 @@ def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def adjacent_cosine(df: DataFrame, order: str, vector: str, *keys: str) -> DataFrame:
-    """Cosine of each row's vector with the next one's in its group."""
-    following = F.lead(vector).over(Window.partitionBy(*keys).orderBy(order))
+    """Cosine of each row's vector with the next one's in its group; rows without a vector are passed over.
+
+    Rows are dealt by group and range of `order`, so that a large group isn't one task. The last row of a range
+    is followed by the first of the group's next range, which a table of one row a group and range tells.
+    """
+    df = df.filter(F.col(order).isNotNull())
+    df = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts(df, order)))
+    heads = df.groupBy(*keys, "_range").agg(F.min_by(F.struct(F.col(vector).alias("v")), order).alias("_head"))
+    after = Window.partitionBy(*keys).orderBy("_range")
+    heads = heads.select(*keys, "_range", F.lead("_head").over(after)["v"].alias("_head"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_range")]
+    df = df.alias("l").join(heads.alias("r"), reduce(lambda a, b: a & b, same), "left").select("l.*", "_head")
+    place = Window.partitionBy(*keys, "_range").orderBy(order)
+    following = F.when(F.lead(order).over(place).isNull(), F.col("_head")).otherwise(F.lead(vector).over(place))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     rows = df.withColumn("_next", following).filter("_next IS NOT NULL")
     cosine = F.try_divide(dot(F.col(vector), F.col("_next")), F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(F.col("_next"), F.col("_next"))))
     return rows.select(*keys, order, F.round(cosine, 6).alias("cosine"))
+
+
+def coverage_by(df: DataFrame, key: str, test, digits: int = 1) -> DataFrame:
+    """Of each key: rows, and the percentage for which a condition holds."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(test, F.lit(False)).cast("int")) * 100, digits).alias("pct"))
+
+
+def flag_totals(df: DataFrame, flags: dict[str, Column], digits: int = 1) -> DataFrame:
+    """(flag, total, pct): rows for which each condition holds."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count(F.when(test, 1)).alias(name) for name, test in flags.items()))
+    pct = lambda name: F.round(F.coalesce(F.try_divide(F.col(name) * 100.0, F.col("_n")), F.lit(0.0)), digits)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("flag"), F.col(n).alias("total"), pct(n).alias("pct")) for n in flags))).alias("x")).select("x.*")
+
+
+def mean_per_group(df: DataFrame, key: str) -> DataFrame:
+    """Groups, and the mean number of rows in one."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.avg("n"), 6).alias("mean_rows"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 
+WORD = re.compile(r"\S+")
+
 
 def window_starts(total, size: int, step: int) -> Column:
     """Starts of windows of `size` tokens every `step`, until one reaches the end."""
@@ -92,3 +97,39 @@ def fill_masks(text, fills) -> Column:
     """Sentinels <extra_id_k> replaced by the k-th filling, left over ones removed."""
     filled = F.aggregate(F.transform(fills, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), text, lambda a, f: F.replace(a, F.concat(F.lit("<extra_id_"), f["i"].cast("string"), F.lit(">")), f["x"]))
     return F.regexp_replace(filled, "<extra_id_[0-9]+>", "")
+
+
+def window_summary(windows: DataFrame, split: str, key: str, labels: str = "labels") -> DataFrame:
+    """Of each split: documents, windows, their mean and largest number a document, documents with several windows, windows and documents with AI tokens, and tokens by label."""
+    own = windows.withColumn("_ai", F.exists(labels, lambda x: (x == 1) | (x == 2))).withColumn("_b", F.exists(labels, lambda x: x == 1))
+    tokens = lambda k: F.size(F.filter(labels, lambda x: x == k))
+    own = own.withColumns({"_t0": tokens(0), "_t1": tokens(1), "_t2": tokens(2), "_t3": tokens(-100)})
+    docs = own.groupBy(split, key).agg(F.count(F.lit(1)).alias("w"), F.max(F.col("_ai").cast("int")).alias("ai"), F.sum(F.col("_ai").cast("int")).alias("wa"), F.sum(F.col("_b").cast("int")).alias("wb"), *(F.sum(f"_t{k}").alias(f"t{k}") for k in range(4)))
+    return docs.groupBy(split).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("w").alias("n_windows"), F.round(F.avg("w"), 6).alias("avg_windows"), F.max("w").alias("max_windows"), F.count(F.when(F.col("w") > 1, 1)).alias("multi_window_documents"),
+        F.sum("ai").alias("docs_with_ai"), F.sum("wa").alias("windows_with_ai"), F.sum("wb").alias("windows_with_b_ai"), *(F.sum(f"t{k}").alias(n) for k, n in enumerate(("tokens_o", "tokens_b", "tokens_i", "tokens_ignored"))),
+    )
+
+
+def split_labels(windows: DataFrame, split: str, labels: str = "labels") -> DataFrame:
+    """(split, has_b, has_i): whether a split has tokens that begin and tokens that go on."""
+    has = lambda k: F.max(F.exists(labels, lambda x: x == k).cast("int")) == 1
+    return windows.groupBy(split).agg(has(1).alias("has_b"), has(2).alias("has_i"))
+
+
+def require_labels(windows: DataFrame, split: str, labels: str = "labels") -> DataFrame:
+    """The windows, if every split has both kinds of tokens; an error that names the others."""
+    poor = [r[0] for r in split_labels(windows, split, labels).filter("NOT (has_b AND has_i)").select(split).collect()]
+    if poor:
+        raise ValueError(f"no B or no I tokens in: {', '.join(sorted(map(str, poor)))}")
+    return windows
+
+
+def word_offsets(text) -> Column:
+    """[start, end] of each run of characters that aren't white space, over the whole text, as an Arrow UDF: Spark has no function that tells where a pattern matches."""
+
+    @F.pandas_udf("array<array<int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[list(m.span()) for m in WORD.finditer(t or "")] for t in texts])
+
+    return find(text)

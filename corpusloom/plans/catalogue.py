@@ -1,4 +1,7 @@
-"""Registered queries and, where SQL can express them, independent DuckDB oracles.
+"""Registered queries and, where SQL can express them, DuckDB oracles.
+
+Patterns and word lists that are fixed values come from functions/patterns.py on both sides; the oracles check what is
+done with them, and tests/test_operators.py checks the patterns themselves on hand-made lines.
 
 Signals that the driver's tables lack (token votes, log-probabilities, verdicts, chunk labels) are derived
 from their columns by integer arithmetic that both engines share; each derivation stands beside its query.
@@ -237,10 +240,10 @@ def html_to_text_regex(spark, d):
     return load(spark, d, "pages").select("page_id", F.length(t).cast("bigint").alias("n"), F.md5(t).alias("digest"))
 
 
-@query("WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=[\"'']([^\"''#]+)', 1) AS l FROM pages), f AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS k FROM m), u AS (SELECT page_id, trim(href) AS href, min(k) AS k FROM f WHERE trim(href) <> '' GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, href FROM u QUALIFY pos < 100")
+@query("WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=[\"'']([^\"''#]+)', 1) AS l FROM pages), f AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS k FROM m), u AS (SELECT page_id, trim(href) AS href, min(k) AS k FROM f WHERE trim(href) <> '' GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, href FROM u")
 def link_extract(spark, d):
-    """The first 100 links of a page, as its oracle has them."""
-    return H.links(load(spark, d, "pages"), "page_id", most=100)
+    """All links of a page."""
+    return H.links(load(spark, d, "pages"), "page_id")
 
 
 @query(f"SELECT page_id, coalesce({H1_SQL}, {H1_SQL.replace('h1', 'title')}, '') AS title FROM pages")
@@ -384,11 +387,50 @@ def quarantine_rate_by_source(spark, d):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("quarantine_candidate").cast("int"))).alias("rate"), r6(F.avg("quality_score")).alias("mean_score"))
 
 
-@query()
+#: Latin letters and Cyrillic ones in their place, so that the rules for Russian prose meet the tables' texts.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувжьыз"
+CYRILLIC_SQL = f"(SELECT doc_id, translate(lower(text), '{LATIN}', '{CYRILLIC}') AS text FROM documents)"
+
+
+def cyrillic_texts(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, CYRILLIC).alias("text"))
+
+
+def lines_of(table: str) -> str:
+    """Common table expressions of the stripped lines of a table's texts with their prose scores."""
+    return rf"""tx AS (SELECT * FROM {table}),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM tx),
+st AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM ln),
+ct AS (SELECT *, length(line) AS n, len(regexp_split_to_array(line, '\s+')) AS w, len(regexp_extract_all(line, '\p{{L}}')) AS l, len(regexp_extract_all(line, '[a-zA-Z]')) AS lat, len(regexp_extract_all(line, '[Ѐ-ӿ]')) AS cyr FROM st),
+sc AS (SELECT *, CASE WHEN n >= 42 AND w >= 7 AND l >= 28 AND cyr + lat >= 22 THEN least(1.0, least(1.0, CAST(n AS DOUBLE) / 130.0) * least(1.0, CAST(w AS DOUBLE) / 16.0) * CASE WHEN cyr / greatest(l, 1) >= 0.28 THEN 1.25 ELSE 1 END * CASE WHEN lat > cyr * 3 AND cyr < 8 THEN 0.35 ELSE 1 END) ELSE 0 END AS score FROM ct)"""
+
+
+def head_trim_sql(table: str) -> str:
+    return f"""WITH {lines_of(table)}, nx AS (SELECT *, lead(score) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM sc WHERE pos <= 110),
+hit AS (SELECT * FROM nx WHERE pos < 110 AND ((score >= 0.52 AND nxt >= 0.38) OR (score >= 0.82 AND n >= 100)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1),
+cut AS (SELECT tx.doc_id, text, pos, CASE WHEN score >= 0.52 AND nxt >= 0.38 THEN CASE WHEN score >= 0.7 THEN 0.78 ELSE 0.62 END ELSE 0.55 END AS sure, string_split(text, chr(10)) AS own FROM tx LEFT JOIN hit USING (doc_id)),
+ok AS (SELECT *, array_to_string(list_slice(own, pos + 1, len(own)), chr(10)) AS rest FROM cut),
+t AS (SELECT *, coalesce(pos > 0 AND length(text) >= 850 AND len(own) >= 10 AND length(rest) >= 0.2 * length(text), false) AS yes FROM ok)
+SELECT doc_id, CASE WHEN yes THEN pos ELSE 0 END AS start_line, CAST(CASE WHEN yes THEN sure ELSE 0 END AS DOUBLE) AS confidence, CAST(length(CASE WHEN yes THEN rest ELSE text END) AS INTEGER) AS n_chars FROM t"""
+
+
+@query(head_trim_sql("(SELECT doc_id, text FROM documents)"))
 def doc_head_trim(spark, d):
     return Q.head_trim(load(spark, d, "documents"), "doc_id").select("doc_id", "start_line", "confidence", F.length("trimmed").alias("n_chars"))
 
 
+@query(head_trim_sql(CYRILLIC_SQL))
+def doc_head_trim_cyrillic(spark, d):
+    return Q.head_trim(cyrillic_texts(spark, d), "doc_id").select("doc_id", "start_line", "confidence", F.length("trimmed").alias("n_chars"))
+
+
+@query(f"WITH {lines_of(CYRILLIC_SQL)} SELECT doc_id, round(max(score) + 1e-9, 6) AS best, round(sum(score) + 1e-8, 5) AS total FROM sc GROUP BY doc_id")
+def line_scores_cyrillic(spark, d):
+    """Prose scores of lines in Cyrillic letters; the small addends keep ties of the rounding on one side in both engines."""
+    rows = Q.explode_lines(cyrillic_texts(spark, d), "doc_id").withColumn("score", Q.body_line_score(F.col("line")))
+    return rows.groupBy("doc_id").agg(F.round(F.max("score") + 1e-9, 6).alias("best"), F.round(F.sum("score") + 1e-8, 5).alias("total"))
+
+
 #: The steps of the default cleaner that meet something in these tables, in RE2 (no look-around is needed).
 CLEAN_SQL = "text"
 for _p, _by in (("[\\x00-\\x08\\x0b-\\x0c\\x0e-\\x1f\\x7f]", ""), (P.LINE_HYPHEN, "\\1\\2"), (P.SPACE_HYPHEN, "\\1\\2"), (P.EMAIL_LINE, ""), (P.EMAIL, ""), (P.DOI, ""), ("[ \\t]{2,}", " "), ("\\n{3,}", chr(10) * 2), ("^\\s+|\\s+$", "")):
@@ -402,12 +444,36 @@ def clean_text_basic(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(CL.clean(F.col("text"), flags)).alias("digest"))
 
 
-@query()
+def bounds_sql(table: str) -> str:
+    tail, more, caps, portal = lit(P.TAIL_HEADER), lit(P.NEXT_ARTICLE), lit(P.CAPS_TITLE), "'" + P.PORTAL_LINES["pravda"].replace("(?iU)", "(?i)").replace("'", "''") + "'"
+    return rf"""WITH {lines_of(table)}, sz AS (SELECT doc_id, count(*) AS k, avg(CASE WHEN pos < 130 THEN CAST(n < 36 AS INTEGER) END) AS thin FROM sc GROUP BY doc_id),
+jn AS (SELECT sc.*, k, length(text) AS chars, CASE WHEN thin >= 0.42 THEN 0.15 ELSE 0 END AS boost, coalesce(lead(CASE WHEN pos <= 130 THEN score END) OVER w, 0) AS after, coalesce(lag(line) OVER w, '') AS l1, coalesce(lag(line, 2) OVER w, '') AS l2 FROM sc JOIN sz USING (doc_id) JOIN tx USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+a AS (SELECT doc_id, pos, CASE WHEN pos + 1 < k AND score >= 0.48 AND after >= 0.35 THEN 0.62 + boost WHEN score >= 0.78 AND n >= 88 THEN 0.52 + boost END AS c FROM jn WHERE pos < 130 AND chars >= 650 AND k >= 14),
+s AS (SELECT doc_id, min(pos) AS start_line, arg_min(c, pos) AS start_confidence FROM a WHERE c IS NOT NULL GROUP BY doc_id),
+b AS (SELECT doc_id, pos, CASE WHEN n BETWEEN 1 AND 240 AND regexp_matches(line, {tail}) THEN 0.78 WHEN regexp_matches(line, {more}) THEN 0.55
+ WHEN regexp_matches(line, {caps}) AND pos >= floor(k * 0.55) AND ((l1 = '' AND l2 = '') OR coalesce(len(regexp_extract_all(l1 || l2, '[a-zA-Z]')) / nullif(len(regexp_extract_all(l1 || l2, '\p{{L}}')), 0), 0) > 0.55) THEN 0.42 END AS c FROM jn WHERE k >= 22 AND pos >= greatest(floor(k * 0.40), 8, k - 110)),
+e AS (SELECT doc_id, min(pos) AS end_line, arg_min(c, pos) AS end_confidence FROM b WHERE c IS NOT NULL GROUP BY doc_id),
+h AS (SELECT doc_id, CASE WHEN any_value(k) >= 3 THEN count(*) FILTER ((pos < 40 OR pos >= k - 45) AND n BETWEEN 1 AND 260 AND regexp_matches(line, {portal})) ELSE 0 END AS hits FROM jn GROUP BY doc_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS own FROM jn WHERE line <> ''),
+z AS (SELECT doc_id, any_value(own) >= 18 AND coalesce(sum(CASE WHEN i >= floor(own * (1 - 0.38)) THEN 2 * CAST(regexp_matches(line, {more}) AS INTEGER) + CAST(n BETWEEN 1 AND 240 AND regexp_matches(line, {tail}) AS INTEGER) END), 0) >= 3 AS bleed FROM q GROUP BY doc_id)
+SELECT tx.doc_id, start_line, round(CAST(start_confidence AS DOUBLE), 6) AS start_confidence, end_line, CAST(end_confidence AS DOUBLE) AS end_confidence, CAST(coalesce(hits, 0) AS INTEGER) AS portal_hits, coalesce(bleed, false) AS bleed FROM tx LEFT JOIN s USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN z USING (doc_id)"""
+
+
+def bounds(rows):
+    t = F.col("text")
+    rows = rows.select("doc_id", B.article_start(t).alias("s"), B.article_end(t).alias("e"), B.portal_hits(t, "pravda").alias("portal_hits"), B.next_article_bleed(t).alias("bleed"))
+    return rows.select("doc_id", F.col("s.pos").alias("start_line"), r6(F.col("s.confidence")).alias("start_confidence"), F.col("e.pos").alias("end_line"), F.col("e.confidence").cast("double").alias("end_confidence"), "portal_hits", "bleed")
+
+
+@query(bounds_sql("(SELECT doc_id, text FROM documents)"))
 def article_bounds(spark, d):
     """Probable first and last lines, portal hits and signs of a next article."""
-    t = F.col("text")
-    rows = load(spark, d, "documents").select("doc_id", B.article_start(t).alias("s"), B.article_end(t).alias("e"), B.portal_hits(t, "pravda").alias("portal_hits"), B.next_article_bleed(t).alias("bleed"))
-    return rows.select("doc_id", F.col("s.pos").alias("start_line"), F.col("s.confidence").alias("start_confidence"), F.col("e.pos").alias("end_line"), F.col("e.confidence").alias("end_confidence"), "portal_hits", "bleed")
+    return bounds(load(spark, d, "documents"))
+
+
+@query(bounds_sql(CYRILLIC_SQL))
+def article_bounds_cyrillic(spark, d):
+    return bounds(cyrillic_texts(spark, d))
 
 
 @query()
@@ -462,7 +528,21 @@ def row_audit(spark, d):
     return R.audit(chunk_rows(spark, d)).select("chunk_id", "status")
 
 
-@query()
+def re2(p: str) -> str:
+    return "'" + p.replace("(?iU)", "(?i)").replace("'", "''") + "'"
+
+
+LEAK_SQL = "((" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_STRONG) + ") >= 1 OR (" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_MEDIUM) + ") >= 2)"
+REFUSAL_SQL = "(" + " OR ".join(f"contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in P.REFUSALS) + ")"
+FLAGS_SQL = f"""WITH {AUDIT_SQL}, u AS (SELECT *, (pair AND half > 1 AND half + 4 <= n) OR (restored AND n > 0) OR (label = 1 AND n > 0) OR label = 0 AS usable FROM z),
+v AS (SELECT chunk_id, dropped, list_filter([CASE WHEN usable AND pair AND half = 3 THEN 'adjacent_spans_merged' END, CASE WHEN usable AND label = 2 AND abs(0.5 - ai / n) > 0.08 THEN 'ai_fraction_mismatch' END,
+ CASE WHEN restored THEN 'label_2_ai_span_restored_from_start_end_char' END, CASE WHEN label <> 0 AND judge_avg < 3 THEN 'low_judge_avg' END, CASE WHEN label <> 0 AND judge_avg IS NULL THEN 'missing_judge_avg_for_synthetic' END,
+ CASE WHEN usable AND pair AND half > 3 THEN 'overlapping_spans_merged' END, CASE WHEN {LEAK_SQL} THEN 'prompt_leak_pattern' END, CASE WHEN doc_id % 13 = 0 THEN 'reported_char_count_mismatch' END, CASE WHEN n < 50 THEN 'too_short_text' END], lambda x: x IS NOT NULL) AS issues,
+ list_filter([CASE WHEN broken THEN 'ai_spans_json_invalid' END, CASE WHEN (pair AND half <= 1) OR ((restored OR label = 1) AND n = 0) THEN 'empty_span' END, CASE WHEN n = 0 THEN 'empty_text' END, CASE WHEN label = 1 AND n = 0 THEN 'label_1_with_empty_text' END,
+ CASE WHEN broken THEN 'label_2_but_ai_spans_unavailable' END, CASE WHEN nospan THEN 'label_2_without_ai_spans' END, CASE WHEN pair AND half + 4 > n THEN 'span_out_of_bounds' END, CASE WHEN {REFUSAL_SQL} THEN 'suspected_refusal_text' END], lambda x: x IS NOT NULL) AS fatal FROM u)"""
+
+
+@query(FLAGS_SQL + """ SELECT chunk_id, CASE WHEN len(fatal) > 0 THEN 'drop' WHEN len(list_filter(issues, lambda x: x NOT IN ('adjacent_spans_merged', 'overlapping_spans_merged', 'label_2_ai_span_restored_from_start_end_char'))) > 0 THEN 'quarantine' ELSE 'clean' END AS status, array_to_string(issues, ',') AS issues, array_to_string(fatal, ',') AS fatal_issues FROM v""")
 def row_audit_flags(spark, d):
     return R.audit(chunk_rows(spark, d)).select("chunk_id", "status", F.array_join("issues", ",").alias("issues"), F.array_join("fatal_issues", ",").alias("fatal_issues"))
 
@@ -528,15 +608,16 @@ def leakage_audit(spark, d):
 
 
 def raw_spans(spark, d):
-    """Two or three spans a document from integer arithmetic on doc_id and length."""
+    """Up to three spans a document over its whole length, by integer arithmetic on doc_id and length; spans without characters are none."""
     i, n = F.col("doc_id"), F.length("text")
-    s = lambda a, b: F.struct(F.least(a, n - 1).cast("int").alias("start"), F.least(b, n).cast("int").alias("end"))
-    third = F.when(i % 2 == 0, F.array(s(i % 40 + 90, i % 40 + 130))).otherwise(F.expr(S.EMPTY))
-    return load(spark, d, "documents").filter("length(text) >= 200").select("doc_id", "text", n.alias("n"), F.concat(F.array(s(i % 50 + 20, i % 50 + 45), s(i % 30, i % 30 + 20 + i % 20)), third).alias("spans"))
+    s = lambda a, b: F.struct(F.least(F.floor(a), n).cast("int").alias("start"), F.least(F.floor(a) + F.floor(b), n).cast("int").alias("end"))
+    third = F.when(i % 2 == 0, F.array(s(n * (i % 40 + 60) / 100, n / 8 + 1))).otherwise(F.expr(S.EMPTY))
+    spans = F.concat(F.array(s(n * (i % 50) / 100, n / 5 + 1), s(n * (i % 30) / 60, n / 10 + i % 20)), third)
+    return load(spark, d, "documents").select("doc_id", "text", n.alias("n"), F.filter(spans, lambda x: x["end"] > x["start"]).alias("spans"))
 
 
-SPAN_SQL = """d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
-raw AS (SELECT doc_id, n, least(a, n - 1) AS s, least(b, n) AS e FROM (SELECT doc_id, n, doc_id % 50 + 20 AS a, doc_id % 50 + 45 AS b FROM d UNION ALL SELECT doc_id, n, doc_id % 30, doc_id % 30 + 20 + doc_id % 20 FROM d UNION ALL SELECT doc_id, n, doc_id % 40 + 90, doc_id % 40 + 130 FROM d WHERE doc_id % 2 = 0)),
+SPAN_SQL = """d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+raw AS (SELECT doc_id, n, least(a, n) AS s, least(a + b, n) AS e FROM (SELECT doc_id, n, n * (doc_id % 50) // 100 AS a, n // 5 + 1 AS b FROM d UNION ALL SELECT doc_id, n, n * (doc_id % 30) // 60, n // 10 + doc_id % 20 FROM d UNION ALL SELECT doc_id, n, n * (doc_id % 40 + 60) // 100, n // 8 + 1 FROM d WHERE doc_id % 2 = 0) WHERE least(a + b, n) > least(a, n)),
 o AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM raw),
 isl AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS k FROM o),
 m AS (SELECT doc_id, n, k, min(s) AS s, max(e) AS e FROM isl GROUP BY doc_id, n, k)"""
@@ -548,25 +629,29 @@ def span_normalize(spark, d):
 
 
 @query(f"""WITH {SPAN_SQL}, g AS (SELECT doc_id, n, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS back FROM m),
-t AS (SELECT doc_id, s AS a, e AS b, 'ai' AS label FROM g UNION ALL SELECT doc_id, p, s, 'human' FROM g WHERE s > p UNION ALL SELECT doc_id, e, n, 'human' FROM g WHERE back = 1 AND n > e)
+t AS (SELECT doc_id, s AS a, e AS b, 'ai' AS label FROM g UNION ALL SELECT doc_id, p, s, 'human' FROM g WHERE s > p UNION ALL SELECT doc_id, e, n, 'human' FROM g WHERE back = 1 AND n > e UNION ALL SELECT doc_id, 0, n, 'human' FROM d WHERE n > 0 AND doc_id NOT IN (SELECT doc_id FROM m))
 SELECT doc_id, CAST(a AS INTEGER) AS "start", CAST(b AS INTEGER) AS "end", label FROM t""")
 def span_tiling(spark, d):
     return raw_spans(spark, d).select("doc_id", F.inline(S.tile(S.merge(F.col("spans")), F.col("n"))))
 
 
-@query(f"WITH {SPAN_SQL} SELECT doc_id, round(sum(e - s) / max(n), 6) AS ai_fraction FROM m GROUP BY doc_id")
+@query(f"WITH {SPAN_SQL} SELECT d.doc_id, round(coalesce(sum(e - s) / max(d.n), 0), 6) AS ai_fraction FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id")
 def ai_fraction(spark, d):
     return raw_spans(spark, d).select("doc_id", r6(S.fraction(S.merge(F.col("spans")), F.col("n"))).alias("ai_fraction"))
 
 
 def token_offsets(spark, d):
-    """Forty tokens of five characters, one character apart, between two special tokens."""
-    offsets = F.concat(F.array(F.array(F.lit(0), F.lit(0))), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.array(k * 5 + F.when(k > 0, 1).otherwise(0), k * 5 + 5)), F.array(F.array(F.lit(0), F.lit(0))))
-    rows = raw_spans(spark, d).withColumn("offsets", offsets).withColumn("spans", S.merge(F.col("spans")))
+    """The words of whole texts with their offsets, between two special tokens, and their labels."""
+    special = F.array(F.array(F.lit(0), F.lit(0)))
+    rows = raw_spans(spark, d).withColumn("offsets", F.concat(special, V.word_offsets(F.col("text")), special)).withColumn("spans", S.merge(F.col("spans")))
     return rows.withColumn("labels", S.bio(F.col("offsets"), F.col("spans")))
 
 
-BIO_SQL = f"{SPAN_SQL}, tk AS (SELECT doc_id, unnest(range(40)) AS k FROM d), ins AS (SELECT tk.doc_id, tk.k, bool_or(m.s IS NOT NULL) AS ai FROM tk LEFT JOIN m ON m.doc_id = tk.doc_id AND tk.k * 5 + 5 > m.s AND tk.k * 5 + (CASE WHEN tk.k > 0 THEN 1 ELSE 0 END) < m.e GROUP BY tk.doc_id, tk.k), lb AS (SELECT doc_id, k, CASE WHEN NOT ai THEN 0 WHEN coalesce(lag(ai) OVER (PARTITION BY doc_id ORDER BY k), false) THEN 2 ELSE 1 END AS label FROM ins)"
+BIO_SQL = SPAN_SQL + r""", rn AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s+|\S+')) AS x, unnest(range(len(regexp_extract_all(text, '\s+|\S+')))) AS j FROM d),
+upto AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY j) AS BIGINT) AS te FROM rn),
+tk AS (SELECT doc_id, te - length(x) AS ts, te, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS k FROM upto WHERE NOT regexp_matches(x, '^\s')),
+ins AS (SELECT tk.doc_id, tk.k, bool_or(m.s IS NOT NULL) AS ai FROM tk LEFT JOIN m ON m.doc_id = tk.doc_id AND tk.te > m.s AND tk.ts < m.e GROUP BY tk.doc_id, tk.k),
+lb AS (SELECT doc_id, k, CASE WHEN NOT ai THEN 0 WHEN coalesce(lag(ai) OVER (PARTITION BY doc_id ORDER BY k), false) THEN 2 ELSE 1 END AS label FROM ins)"""
 
 
 @query(f"WITH {BIO_SQL} SELECT doc_id, CAST(k AS INTEGER) AS token_idx, CAST(label AS INTEGER) AS label FROM lb")
@@ -574,7 +659,7 @@ def bio_labels(spark, d):
     return token_offsets(spark, d).select("doc_id", F.posexplode("labels").alias("p", "label")).filter("label <> -100").select("doc_id", (F.col("p") - 1).alias("token_idx"), "label")
 
 
-@query(f"WITH {BIO_SQL}, p AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS l FROM lb GROUP BY doc_id) SELECT CASE WHEN len(l) = 1 THEN 'only_' ELSE 'mixed_' END || array_to_string(list_transform(l, lambda x: CASE x WHEN 0 THEN 'O' WHEN 1 THEN 'B' ELSE 'I' END), '_') AS pattern, count(*) AS n FROM p GROUP BY 1")
+@query(f"WITH {BIO_SQL}, p AS (SELECT d.doc_id, list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))) AS l FROM d LEFT JOIN lb USING (doc_id) GROUP BY d.doc_id) SELECT CASE WHEN coalesce(len(l), 0) = 0 THEN 'all_ignored' WHEN len(l) = 1 THEN 'only_' ELSE 'mixed_' END || coalesce(array_to_string(list_transform(l, lambda x: CASE x WHEN 0 THEN 'O' WHEN 1 THEN 'B' ELSE 'I' END), '_'), '') AS pattern, count(*) AS n FROM p GROUP BY 1")
 def window_patterns(spark, d):
     return token_offsets(spark, d).groupBy(V.label_pattern(F.col("labels")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -726,12 +811,18 @@ def accuracy(spark, d):
     return E.accuracy(scored(spark, d), "label", "pred")
 
 
+def labelled_texts(spark, d):
+    """Labelled documents with their texts, numeric features and quality as label."""
+    own = features(spark, d).drop("lang", "source").join(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return own.join(load(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
 @query()
 def tfidf_logreg(spark, d):
-    """TF-IDF and logistic regression on labelled documents; probabilities of a held-out hash fold."""
-    rows = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    """TF-IDF, numeric features and logistic regression on labelled documents; probabilities of a held-out hash fold."""
+    rows = labelled_texts(spark, d)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    model = E.text_model(rows.filter(fold != 0), terms=2000, min_df=2.0)
+    model = E.text_model(rows.filter(fold != 0), numbers=tuple(CORR), stop=STOP)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows.filter(fold == 0)).select("doc_id", "label", "prediction", r6(vector_to_array("probability")[1]).alias("probability"))
@@ -764,10 +855,6 @@ def refusal_flags(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", X.has_refusal(F.col("text")).alias("refusal"))
 
 
-def re2(p: str) -> str:
-    return "'" + p.replace("(?iU)", "(?i)").replace("'", "''") + "'"
-
-
 @query("SELECT conv_id, turn, (" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_STRONG) + ") >= 1 OR (" + " + ".join(f"CAST(regexp_matches(text, {re2(p)}) AS INTEGER)" for p in P.LEAKS_MEDIUM) + ") >= 2 AS leak, least(5, " + " + ".join(f"len(regexp_extract_all(text, {re2(p)}))" for p in P.INJECTIONS) + ") AS injections FROM conversations")
 def prompt_leak(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", X.has_prompt_leak(F.col("text")).alias("leak"), F.size(X.injections(F.col("text"))).alias("injections"))
@@ -782,3 +869,6 @@ def session_stats(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_counts(spark, d):
     return ST.tumbling(load(spark, d, "events"), "ts", "1 hour", "event_type")
+
+
+from . import reports  # noqa: E402,F401  registers the queries of the other operators

@@ -117,9 +117,9 @@ def ratio(part, whole, digits: int = 6) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), digits)
 
 
-def lexical_features(c, stop_words, punctuation: str = r"[.,!?;:\-]") -> dict[str, Column]:
-    """Shares of punctuation, stop words, distinct words and capitals."""
-    w = words(F.lower(c))
+def lexical_features(c, stop_words, punctuation: str = r"[.,!?;:\-]", own=None) -> dict[str, Column]:
+    """Shares of punctuation, stop words, distinct words and capitals. `own`: the lower-cased words, if a frame has them."""
+    w = words(F.lower(c)) if own is None else own
     n = F.size(w)
     return {
         "punctuation_ratio": ratio(count_of(blank(c), punctuation), F.length(blank(c))),

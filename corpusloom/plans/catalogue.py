@@ -61,7 +61,8 @@ LETTERS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[
 def features(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
     t = F.col("text")
-    return docs.select("doc_id", "lang", "source", *(v.alias(k) for k, v in (X.size_features(t) | X.lexical_features(t, STOP)).items()))
+    docs = docs.withColumn("_words", X.words(F.lower(t)))  # cut once for all features
+    return docs.select("doc_id", "lang", "source", *(v.alias(k) for k, v in (X.size_features(t) | X.lexical_features(t, STOP, own=F.col("_words"))).items()))
 
 
 FEATURES_SQL = rf"""

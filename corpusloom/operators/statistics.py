@@ -97,8 +97,8 @@ def top_bigrams(df: DataFrame, n: int, text: str = "text", stop=()) -> DataFrame
     # words that don't count become null once, so that a pair only looks at two of them
     ok = lambda w: (F.length(w) >= 3) & (~w.isin(*stop) if stop else F.lit(True))
     kept = F.transform(words(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\s]+", " ")), lambda w: F.when(ok(w), w))
-    own, n = F.col("_w"), F.greatest(F.size("_w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(own, 1, n), F.slice(own, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    own, size = F.col("_w"), F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(own, 1, size), F.slice(own, 2, size), lambda a, b: F.concat(a, F.lit(" "), b))
     return df.select(kept.alias("_w")).select(F.explode(F.array_compact(pairs)).alias("bigram")).groupBy("bigram").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "bigram").limit(n)
 
 

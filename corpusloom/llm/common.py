@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Session setting of Spark: remove the shuffle files of an execution at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables that this program has written and not deleted.
+WRITTEN: list[str] = []
 #: Bytes A-Z to a-z; every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -28,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not hasattr(context, "_corpusloom_dir"):
+            context._corpusloom_dir = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        base = context._corpusloom_dir
     return base.rstrip("/")
 
 
@@ -49,17 +53,40 @@ def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
+    WRITTEN.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that materialize() wrote and that no later plan reads."""
     for df in frames:
         path = getattr(df, "_corpusloom_path", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            delete(df.sparkSession, path)
+
+
+def sweep(kept: DataFrame, before: set[str]) -> None:
+    """Delete all tables that materialize() wrote since WRITTEN held `before`, but for one: the rest only served to make it."""
+    for path in [p for p in WRITTEN if p not in before and p != kept._corpusloom_path]:
+        delete(kept.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that no column of the frame has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bytes_of(column) -> list:

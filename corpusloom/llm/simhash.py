@@ -43,8 +43,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero of none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for a in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])

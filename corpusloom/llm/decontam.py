@@ -5,7 +5,8 @@ documents; its text keeps the runs of words that some item uses and that are as
 window, since no window can lie elsewhere. The windows are searched backwards through the wavelet
 ranks, their occurrences located by sampled suffix positions, and overlapping spans merged.
 
-Items are taken in blocks of bounded size: each block is broadcast once and meets all documents.
+Items are cut into pieces of bounded size, which overlap by a window, and taken in blocks of them: each block
+is broadcast once, meets all documents, and is destroyed before the next one is made.
 
 Cases: null or empty texts have no words and no hits; an item without words has no window; rows that
 repeat a doc_id or an item_id are taken each for itself (an item counts once a document); items without
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialize, table
+from .common import bytes_of, fresh, hot_keys, materialize, salted_left_join, table
 from .fmindex import FMIndex
 
 WINDOW = 10
-#: A block of items holds about so many bytes of text at most; a shard so many words.
-BLOCK_BYTES, SHARD_WORDS = 32 << 20, 2_000_000
+#: A block of items holds about so many bytes of text, a piece of an item so many words, a shard of documents so many words.
+BLOCK_BYTES, PIECE, SHARD_WORDS = 8 << 20, 4096, 2_000_000
 #: A-Z to a-z, every ASCII byte that is neither letter nor digit to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -45,22 +46,25 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple, set] = {}
         order = lambda x: (x is None, x or "")
-        items = sorted(items, key=lambda x: order(x[0]))
         self.items = sorted({i for i, _ in items}, key=order)
-        at = {x: k for k, x in enumerate(self.items)}
+        at, get = {x: k for k, x in enumerate(self.items)}, self.vocabulary.setdefault
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for name, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(FOLD).split())
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(ids[i : i + window], set()).add(at[name])
-        self.lengths = np.array([len(x) for x in windows], np.int64)
-        self.patterns = np.zeros((len(windows), window), np.int32)
-        for k, x in enumerate(windows):
-            self.patterns[k, : len(x)] = x
+            words = text.translate(FOLD).split()
+            ids = np.fromiter((get(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
+            if not len(ids):
+                continue
+            if len(ids) < window:
+                ids = np.concatenate([ids, np.zeros(window - len(ids), np.int32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(len(ids) - window + 1, at[name]))
+        self.patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(1)
         self.shortest = int(self.lengths.min(initial=window))
-        self.owners = np.concatenate([[], *(sorted(x) for x in windows.values())]).astype(np.int64)
-        self.first_owner = np.concatenate([[0], np.cumsum([len(x) for x in windows.values()])]).astype(np.int64)
+        owned = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)], 1), axis=0)
+        self.owners = owned[:, 1]
+        self.first_owner = np.searchsorted(owned[:, 0], np.arange(len(self.patterns) + 1))
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, list[str], np.ndarray]]:
         """For each text of a shard: words, words hit, items, merged spans of words."""
@@ -131,77 +135,115 @@ def shards(batches, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
                 a, size = k + 1, 0
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, nameless: bool = True) -> Iterator:
-    """Broadcasts of Phrases, one for each block of items of bounded size, with or without the items that have no item_id."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+def pieces(benchmark: DataFrame, window: int, nameless: bool) -> DataFrame:
+    """(item_id, text): distinct runs of PIECE words of the items, each with the window that reaches into the next, so that no row is large."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for name, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
+                words = text.translate(FOLD).split()
+                out += [(name, b" ".join(words[a : a + PIECE + window - 1])) for a in range(0, max(1, len(words) - window + 1), PIECE) if words]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["item_id", "text"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items if nameless else items.filter(F.col("item_id").isNotNull())
+    return items.mapInArrow(run, "item_id string, text binary").distinct()
+
+
+def phrase_blocks(benchmark: DataFrame, window: int, nameless: bool = True) -> tuple[int, Iterator]:
+    """How many blocks of items of bounded size there are, and broadcasts of their Phrases, made one after the other."""
+    items = pieces(benchmark, window, nameless)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1])) for r in block.collect()], window))
 
+    def each():
+        for k in range(blocks):
+            block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            rows = block.toArrow()
+            yield benchmark.sparkSession.sparkContext.broadcast(Phrases(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), window))
+
+    return blocks, each()
+
+
+def scan(docs: DataFrame, phrases) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, items, spans) of docs(row, doc_id, text) for one broadcast block of items."""
+    spans = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", spans)])
+
+    def run(batches):
+        for batch, texts in shards(batches, "text"):
+            rows = phrases.value.scan(texts)
+            found = [[{"first": a, "after": b} for a, b in r[3].tolist()] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(3)), pa.array(found, spans)], schema=schema)
+
+    return docs.mapInArrow(run, REPORT)
+
+
+def scan_blocks(docs: DataFrame, blocks: int, phrases: Iterator) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, items, spans) for all blocks of items; rows that share `row` are the same row, repeated.
 
-def scan_blocks(docs: DataFrame, blocks: list) -> DataFrame:
-    """(row, doc_id, n_words, n_hit, items, spans) for broadcast blocks of items; rows that share `row` are the same row, repeated."""
+    With several blocks, each one's finds are written and its broadcast destroyed before the next is made.
+    """
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for phrases in blocks:
-
-        def scan(batches, phrases=phrases):
-            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))])
-            for batch, texts in shards(batches, "text"):
-                rows = phrases.value.scan(texts)
-                spans = [[{"first": a, "after": b} for a, b in r[3].tolist()] for r in rows]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], schema.field(k + 2).type) for k in range(3)), pa.array(spans, schema.field(5).type)], schema=schema)
-
-        found.append(docs.mapInArrow(scan, REPORT))
-    if len(found) == 1:
-        return found[0]
-    merged = found[0]
-    for part in found[1:]:
-        merged = merged.unionByName(part)
-    # blocks of items: spans of all blocks are sorted and folded into disjoint ones; a repeated row comes back as often as it was
-    fold = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<first:int,after:int>>), (a, x) ->
+    if blocks == 1:
+        return scan(docs, next(phrases))
+    every, others = None, []
+    for block in phrases:
+        found = scan(docs, block)
+        if every is None:
+            every = materialize(found, "spans")
+        else:
+            others.append(materialize(found.filter("n_hit > 0").dropDuplicates(["row"]).select("row", "items", "spans"), "spans", slim=True))
+        block.destroy()
+    more = others[0]
+    for part in others[1:]:
+        more = more.unionByName(part)
+    more = more.groupBy("row").agg(F.flatten(F.collect_list("items")).alias("more_items"), F.flatten(F.collect_list("spans")).alias("more_spans"))
+    both = salted_left_join(every, more, "row", hot_keys(every, "row"))
+    # spans of all blocks are sorted and folded into disjoint ones
+    fold = """aggregate(array_sort(concat(spans, coalesce(more_spans, array()))), cast(array() as array<struct<first:int,after:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).after >= x.first,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'after', greatest(element_at(a, -1).after, x.after)))),
            concat(a, array(x))))"""
-    merged = merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(fold).alias("spans"), (F.count(F.lit(1)) / len(found)).cast("int").alias("copies"))
-    hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.after - x.first)").alias("n_hit")
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row", "doc_id", "n_words", hit, "items", "spans")
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+    both = both.select("row", "doc_id", "n_words", items.alias("items"), F.expr(fold).alias("spans"))
+    return both.withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.after - x.first)")).select("row", "doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, nameless: bool = False) -> DataFrame:
     """For each document: words, words inside an occurrence of a window, items with occurrences, merged spans."""
-    return scan_blocks(docs, list(phrase_blocks(benchmark, window, nameless))).drop("row")
+    return scan_blocks(docs, *phrase_blocks(benchmark, window, nameless)).drop("row")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the merged spans; one that consists of them alone goes. Columns stay; n_chars follows the text."""
-    blocks = list(phrase_blocks(benchmark, window))
-    columns = docs.columns
-    if len(blocks) > 1:
-        found = scan_blocks(docs, blocks).filter("n_hit > 0").dropDuplicates(["row"])
-        spans = materialize(found.select(F.col("row").alias("__row"), F.col("spans").alias("__spans"), (F.col("n_hit") == F.col("n_words")).alias("__all")), "spans")
-        docs = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(spans, "__row", "left").drop("__row")
-    fields = [f for f in docs.schema.fields if f.name not in ("__spans", "__all")]
-    given = len(blocks) > 1
+    blocks, phrases = phrase_blocks(benchmark, window)
+    fields, given = docs.schema, blocks > 1
+    key, cuts, whole = fresh(docs, "row", "spans", "all")
+    if given:
+        found = scan_blocks(docs, blocks, phrases).filter("n_hit > 0").dropDuplicates(["row"])
+        found = materialize(found.select(F.col("row").alias(key), F.col("spans").alias(cuts), (F.col("n_hit") == F.col("n_words")).alias(whole)), "spans")
+        named = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+        docs = salted_left_join(named, found, key, hot_keys(named.select(key), key)).drop(key)
+    else:
+        block = next(phrases)
 
     def clean(batches):
         for batch, texts in shards(batches, "text"):
             if given:
-                rows = [(1, int(bool(a)), [], [(x["first"], x["after"]) for x in s or []]) for s, a in zip(batch.column("__spans").to_pylist(), batch.column("__all").to_pylist(), strict=True)]
+                rows = [(1, int(bool(a)), [], [(x["first"], x["after"]) for x in s or []]) for s, a in zip(batch.column(cuts).to_pylist(), batch.column(whole).to_pylist(), strict=True)]
             else:
-                rows = blocks[0].value.scan(texts)
+                rows = block.value.scan(texts)
             kept = [k for k, r in enumerate(rows) if r[1] < r[0] or not r[0]]
             new = {k: cut(texts[k], rows[k][3]) for k in kept if len(rows[k][3])}
-            out = batch.select([f.name for f in fields]).take(pa.array(kept, pa.int64()))
+            out = batch.select(fields.names).take(pa.array(kept, pa.int64()))
             if new:
                 text = pa.array([new.get(k, texts[k]) for k in kept], pa.binary()).cast(pa.string())
                 at = out.schema.get_field_index("text")
                 out = out.set_column(at, out.schema.field(at), text.cast(out.schema.field(at).type))
-                if "n_chars" in columns:
-                    at = out.schema.get_field_index("n_chars")
+                at = out.schema.get_field_index("n_chars")
+                if at >= 0:
                     size = pa.compute.utf8_length(text).cast(out.schema.field(at).type)
                     touched = pa.array([k in new for k in kept])
                     out = out.set_column(at, out.schema.field(at), pa.compute.if_else(touched, size, out.column(at)))
@@ -209,7 +251,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     import pyarrow.compute  # noqa: F401  for pa.compute
 
-    return docs.mapInArrow(clean, docs.select([f.name for f in fields]).schema)
+    return docs.mapInArrow(clean, fields)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,19 @@ class FMIndex:
         high[none] = low[none]
         return low, high
 
+    def matching(self, texts: np.ndarray, least: int = 2) -> np.ndarray:
+        """Matching statistics of the ends of the rows of `texts`: how many symbols, read backwards from there, occur together `least` times or more."""
+        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.n, np.int64)
+        reach, alive = np.zeros(len(texts), np.int64), np.arange(len(texts))
+        for step in range(texts.shape[1]):
+            low, high = self.extend(texts[alive, texts.shape[1] - 1 - step], low, high)
+            held = high - low >= least
+            alive, low, high = alive[held], low[held], high[held]
+            if not len(alive):
+                break
+            reach[alive] = step + 1
+        return reach
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows of the suffix order, by steps to the next sampled one."""
         out, steps, left, at = np.zeros(len(rows), np.int64), 0, np.arange(len(rows)), rows.astype(np.int64)

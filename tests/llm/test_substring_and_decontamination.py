@@ -139,3 +139,55 @@ def test_items_without_item_id_hit_as_in_the_oracle(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want) and {r[0]: r[2] for r in got.collect()} == {1: 21, 2: 10, 3: 0}
     kept = {r.doc_id: r.text for r in decontam.remove_contamination(docs, items).collect()}
     assert kept == {1: " ".join(words[:5] + words[26:30]), 2: " ".join(words[30:40] + words[50:]), 3: "clean"}
+
+
+def test_equal_segments_hash_alike_wherever_they_stand():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 300, dtype=np.uint64)
+    other = np.concatenate([words[200:207], words[20:60], words[:50]])
+    assert substring.content(words, np.array([20]), np.array([40])) == substring.content(other, np.array([7]), np.array([40]))
+    assert substring.content(words, np.array([20]), np.array([40])) != substring.content(other, np.array([7]), np.array([39]))
+
+
+def test_matching_statistics_against_all_substrings():
+    rng = random.Random(8)
+    parts = [[rng.randrange(1, 4) for _ in range(rng.randrange(5, 20))] for _ in range(12)]
+    index = FMIndex(np.array([x for p in parts for x in (*p, 0)], np.int32), 4)
+    seen = Counter(tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+    rows = np.array([p[i : i + 5] for p in parts for i in range(len(p) - 4)])
+    want = [max((k for k in range(1, 6) if seen[tuple(r[5 - k :].tolist())] >= 2), default=0) for r in rows]
+    assert index.matching(rows, 2).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_a_passage_that_many_texts_hold_among_other_words(spark, monkeypatch, hot):
+    """Near copies of one passage, each with words of its own around it: with a small bound no shard takes the anchor whole."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "SHARD", 8)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(45)]
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        rows.append((i, " ".join(own[: rng.randrange(30)] + passage[rng.randrange(8) : 45 - rng.randrange(8)] + own[rng.randrange(30) :])))
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id bigint, text string, row int, hits string, __row string").repartition(5)
+    got = [tuple(r) for r in substring.removed_words(docs).collect()]
+    assert sorted(got) == sorted(slow_removed(rows))
+    kept = substring.remove_repeats(docs)
+    assert kept.columns == docs.columns and kept.filter("row = 1 AND hits = 'x' AND __row = 'y'").count() == kept.count() > 0
+
+
+@pytest.mark.parametrize("block,piece", [(8 << 20, 4096), (400, 7)])
+def test_long_items_in_pieces_and_columns_with_names_of_ours(spark, monkeypatch, block, piece):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "PIECE", piece)
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(400)}" for _ in range(120))
+    items = [("long", long), ("again", long.upper()), ("short", "w1 w2"), (None, " ".join(long.split()[30:50]))]
+    rows = [(i, " ".join(long.split()[a : a + 40]) + " tail of its own") for i, a in enumerate(range(0, 100, 9))] + [(50, "w1 w2"), (51, None), (52, "clean")]
+    docs = spark.createDataFrame([(*r, "s", True, 3) for r in rows], "doc_id bigint, text string, spans string, __all boolean, row int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, sorted(map(str, r["items"]))) for r in decontam.find_contamination(docs, bench, nameless=True).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, *slow_hits(t, items))) for i, t in rows)
+    kept = decontam.remove_contamination(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.filter("spans = 's' AND __all AND row = 3").collect()} == {*range(12), 51, 52}
+    assert all(slow_hits(r.text, items)[1] == 0 for r in kept.collect())

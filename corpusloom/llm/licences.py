@@ -1,12 +1,16 @@
 """Licence scan: paragraphs classified by sparse word n-gram logistic regression, confirmed by templates.
 
-A candidate paragraph (a line of a text) names one of a few stems such as "licen" or "copyright"; every
-other paragraph is unknown. A candidate's distinct word n-grams (one to three words) are looked up in the
-model: the weights of a multinomial logistic regression over licence families and an unknown class,
-fitted on the driver on variants of the templates and on a bounded sample of the corpus's paragraphs. The
-unknown class is calibrated: a family counts only from the probability on that separates held-out variants
-from held-out other paragraphs best. A family is confirmed when one of its templates shares enough
-n-grams with the paragraph.
+A paragraph is a line of a text. Its distinct word n-grams (one to three words) are looked up in the model:
+the weights of a multinomial logistic regression over licence families and an unknown class, fitted on the
+driver on variants of the templates, on other sentences, and on a bounded sample of the corpus's paragraphs
+with words of the templates strewn in. Only n-grams with a key word have a weight: a word of a
+template that isn't common (COMMON). So a paragraph without a key word is unknown, whatever else it says, and
+only paragraphs with one, the candidates, are scored; that leaves out no licence that the model would find.
+
+The unknown class is calibrated on templates that the fit has not seen: each is scored by a model without it,
+and a family counts from the probability on that separates those variants from held-out other paragraphs
+best, and only where it is likelier than unknown. A family is confirmed when one of its templates shares
+enough n-grams with the paragraph.
 
 The main path is DataFrame functions only: one scan, a broadcast join with the model (its size is fixed by
 the templates and the sample's bound) and sums by paragraph and document.
@@ -30,28 +34,30 @@ from .common import table
 
 #: Families and short public notices of each: fixed values.
 TEMPLATES = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "Distributed under the GNU AGPL v3."],
     "apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under the Creative Commons CC0 public domain dedication."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Content available under CC BY 3.0."],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Content available under CC BY-NC 3.0."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Content available under CC BY-SA 3.0."],
+    "cc0": ["This work is dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under the Creative Commons CC0 public domain dedication.", "Released as CC0 1.0."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under the GNU GPL v3."],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "Distributed under the GNU LGPL v2.1."],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT", "Licensed under MIT."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the MPL 2.0."],
 }
-#: Prose that names a stem without a licence.
-OTHERS = ["All rights reserved, copyright of the publisher.", "Copyright by the author, no part may be copied without permission.", "He lost his driving licence and asked for permission to appeal.", "The licence plate was stolen under the bridge.", "The warranty is void if the seal is broken.", "She was licensed to practise medicine in the state.", "You may ask for permission to use the public domain name.", "Please read the licence terms of your software before you install it.", "The book is under copyright and the version is out of print.", "A general public meeting on the new licensing act.", "The foundation published its terms of service.", "Fishing licences are released under the new rules."]
-#: A candidate paragraph has one of these in lower case.
-STEMS = ("licen", "copyright", "permission", "redistribut", "creative commons", "public domain", "spdx", "warrant")
+#: Prose that names a licence's words without a licence.
+OTHERS = ["All rights reserved, copyright of the publisher.", "Copyright by the author, no part may be copied without permission.", "He lost his driving licence and asked for permission to appeal.", "The licence plate was stolen under the bridge.", "The warranty is void if the seal is broken.", "She was licensed to practise medicine in the state.", "You may ask for permission to use the public domain name.", "Please read the licence terms of your software before you install it.", "The book is under copyright and the version is out of print.", "A general public meeting on the new licensing act.", "The foundation published its terms of service.", "Fishing licences are released under the new rules.", "The program is on the public channel under the name of the general.", "The Apache nation and the Mozilla team share a free library.", "Creative work in the commons is open to the general public.", "The software was granted a patent by a court of law.", "Er kam mit dem Hund und ging mit der Katze.", "Mit freundlichen Grüßen, mit Dank und mit Freude.", "La fondation publique garde les droits.", "El dominio del software es universal."]
+#: Words of the templates that any text may have, so that they are no key words: fixed values.
+COMMON = frozenset("1 1.0 2 2.0 2.1 3 3.0 4 4.0 a all and any are as associated at author available be by can charge code compliance conditions content copy deal distributed either except extent file files following form forms found free general has http in international is it later law library may met not obtain obtaining of or person possible program provided published related released rights source subject terms that the this to under use v version with without work you mit".split())
 WORD = "[a-z0-9]+(?:[.'+-][a-z0-9]+)*"
-#: Paragraphs of the corpus in the training sample, n-gram lengths, and the least share of a template's or paragraph's n-grams that confirms.
-SAMPLE, GRAMS, CONFIRM = 2000, 3, 0.5
+#: Documents in the training sample (one paragraph of each, of at most LONGEST characters), n-gram lengths, folds of the calibration, and the least share of a template's or paragraph's n-grams that confirms.
+SAMPLE, LONGEST, GRAMS, FOLDS, CONFIRM = 2000, 4000, 3, 4, 0.5
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 ALL_TEMPLATES = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
+KEYS = sorted({w for _, t in ALL_TEMPLATES for w in re.findall(WORD, t.lower())} - COMMON)
+KEY_SET = frozenset(KEYS)
 
 
 def grams_of(text: str) -> list[str]:
@@ -61,14 +67,27 @@ def grams_of(text: str) -> list[str]:
 
 
 def variants(rng: random.Random, text: str, prose: list[str], n: int) -> list[str]:
-    """The text itself, with words left out, within other words, and in parts."""
+    """The text itself, with words left out, within other words, in parts, and from its second key word on, which names the licence."""
     words, out = text.split(), [text]
+    keys = [k for k, w in enumerate(words) if not KEY_SET.isdisjoint(re.findall(WORD, w.lower()))]
+    named = words[keys[1] :] if len(keys) > 1 else words
     for _ in range(n - 1):
         kept = [w for w in words if rng.random() > 0.1] or words
         around = rng.choice(prose).split() if prose else []
         cut = rng.randrange(len(around) + 1) if around else 0
-        kind = rng.randrange(3)
-        out.append(" ".join(around[:cut][-12:] + kept + around[cut:][:12]) if kind == 0 else " ".join(kept) if kind == 1 or len(kept) < 12 else " ".join(kept[: len(kept) * 3 // 4]))
+        kind = rng.randrange(4)
+        out.append(" ".join(around[:cut][-6:] + named + around[cut:][:6]) if kind == 3 else " ".join(around[:cut][-12:] + kept + around[cut:][:12]) if kind == 0 else " ".join(kept) if kind == 1 or len(kept) < 12 else " ".join(kept[: len(kept) * 3 // 4]))
+    return out
+
+
+def strewn(rng: random.Random, prose: list[str], n: int) -> list[str]:
+    """Paragraphs with one or two words of the templates strewn in."""
+    own, out = [w for _, t in ALL_TEMPLATES for w in t.split()], []
+    for _ in range(n if prose else 0):
+        words = rng.choice(prose).split()
+        for _ in range(rng.randrange(1, 3)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(own))
+        out.append(" ".join(words))
     return out
 
 
@@ -77,30 +96,52 @@ class Model:
 
     def __init__(self, prose: list[str], seed: int = 5, steps: int = 300):
         rng = random.Random(seed)
-        rows, y = [], []
+        rows, y, part = [], [], []
+        seen: dict[str, int] = {}
         for family, text in ALL_TEMPLATES:
+            k = seen[family] = seen.get(family, -1) + 1  # a family's templates go to different folds
             for v in variants(rng, text, prose, 24):
                 rows.append(v)
                 y.append(FAMILIES.index(family))
-        others = [v for t in OTHERS for v in variants(rng, t, prose, 16)] + prose
-        rows += others
-        y += [UNKNOWN] * len(others)
-        grams = [grams_of(r) for r in rows]
-        wanted = dict.fromkeys(g for _, t in ALL_TEMPLATES for g in grams_of(t)) | dict.fromkeys(g for t in OTHERS for g in grams_of(t))
+                part.append(k % FOLDS)
+        for k, t in enumerate(OTHERS):
+            for v in variants(rng, t, prose, 16):
+                rows.append(v)
+                y.append(UNKNOWN)
+                part.append(k % FOLDS)
+        for k, t in enumerate(strewn(rng, prose, 600)):  # prose alone has no key word and is never scored
+            rows.append(t)
+            y.append(UNKNOWN)
+            part.append(k % FOLDS)
+        has_key = lambda g: not KEY_SET.isdisjoint(g.split())
+        wanted = dict.fromkeys(g for t in [*(t for _, t in ALL_TEMPLATES), *OTHERS] for g in grams_of(t) if has_key(g))
         self.grams = {g: k for k, g in enumerate(wanted)}
         x = np.zeros((len(rows), len(self.grams)), np.float32)
-        for k, gs in enumerate(grams):
-            x[k, [self.grams[g] for g in gs if g in self.grams]] = 1
-        y = np.array(y)
-        aside = np.array([rng.random() < 0.25 for _ in rows])
-        self.weights, self.bias = self.fit(x[~aside], y[~aside], steps)
-        p = self.probabilities(x[aside])
-        top, right = p[:, :UNKNOWN].max(1), y[aside] < UNKNOWN
-        order = np.sort(top)
-        cuts = (order[1:] + order[:-1]) / 2
-        f1 = [2 * (right & (top >= c)).sum() / ((top >= c).sum() + right.sum()) for c in cuts]
-        best = np.flatnonzero(np.array(f1) == max(f1))
-        self.least = float(cuts[best[len(best) // 2]])
+        for k, text in enumerate(rows):
+            x[k, [self.grams[g] for g in grams_of(text) if g in self.grams]] = 1
+        y, part = np.array(y), np.array(part)
+        p = np.zeros((len(rows), UNKNOWN + 1))
+        for k in range(FOLDS):
+            self.weights, self.bias = self.fit(x[part != k], y[part != k], steps)
+            p[part == k] = self.probabilities(x[part == k])
+        self.least = self.limit(p, y)
+        self.weights, self.bias = self.fit(x, y, steps)
+        # a paragraph without a weighted n-gram must be unknown: that is what lets only candidates be scored
+        if self.bias.argmax() != UNKNOWN:
+            self.bias[UNKNOWN] = self.bias.max() + 1e-3
+
+    def limit(self, p: np.ndarray, y: np.ndarray) -> float:
+        """The probability from which a family counts that gives the best F1 over paragraphs of unseen templates and others; `precision` and `recall` are what it gives there."""
+        top, likelier = p[:, :UNKNOWN].max(1), p[:, :UNKNOWN].max(1) > p[:, UNKNOWN]
+        right, family = (p[:, :UNKNOWN].argmax(1) == y) & (y < UNKNOWN), (y < UNKNOWN).sum()
+        order = np.sort(top[likelier])
+        cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else np.array([0.5])
+        taken = [likelier & (top >= c) for c in cuts]
+        f1 = np.array([2 * (right & t).sum() / (t.sum() + family) for t in taken])
+        best = np.flatnonzero(f1 == f1.max())
+        at = best[len(best) // 2]
+        self.precision, self.recall = float((right & taken[at]).sum() / max(1, taken[at].sum())), float((right & taken[at]).sum() / max(1, family))
+        return float(cuts[at])
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, steps: int, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +172,16 @@ class Model:
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 
 
+def key_pattern() -> str:
+    """Any key word, as a whole word, sorted out by its first letter."""
+    first = {c: [re.escape(w[1:]) for w in KEYS if w[0] == c] for c in sorted({w[0] for w in KEYS})}
+    inner = "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in first.items())
+    return f"(?<![a-z0-9])(?:{inner})(?![a-z0-9])"
+
+
 def is_candidate(column):
-    lower = F.lower(column)
-    found = F.lit(False)
-    for stem in STEMS:
-        found = found | lower.contains(stem)
-    return found
+    """Whether a text has a key word: as part of a longer word with a hyphen or a dot as well, which costs a lookup only."""
+    return F.lower(column).rlike(key_pattern())
 
 
 def paragraphs(text):
@@ -155,13 +200,14 @@ def grams(paragraph):
     return F.array_distinct(F.concat(*runs))
 
 
-def train(docs: DataFrame, size: int = SAMPLE) -> Model:
-    """The model, with other paragraphs from the documents whose doc_id hashes lowest (one paragraph each)."""
+def train(docs: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """The model, with other paragraphs from the `size` documents whose doc_id hashes lowest: of each the first without a key word and of at most `longest` characters."""
     # the sample is drawn by number first, so that only its own texts travel
     drawn = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = rows.select(F.try_element_at(paragraphs(F.col("text")), F.lit(1)).alias("p"))
-    return Model(sorted(r[0] for r in rows.filter(F.col("p").isNotNull() & ~is_candidate(F.col("p")) & (F.length("p") < 4000)).collect()))
+    plain = F.filter(paragraphs(F.col("text")), lambda x: ~is_candidate(x) & (F.length(x) <= longest))
+    rows = rows.select(F.try_element_at(plain, F.lit(1)).alias("p"))
+    return Model(sorted(r[0] for r in rows.filter(F.col("p").isNotNull()).collect()))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,7 +217,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = paragraphs(F.col("text"))
-    # each line knows its place; only documents with a stem are cut further
+    # each line knows its place; only documents with a key word are cut further
     found = F.when(is_candidate(F.col("text")), F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("position"), x.alias("text"))), lambda s: is_candidate(s["text"])))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.size(lines).cast("bigint").alias("n_paragraphs"), F.explode_outer(found).alias("line"))
     rows = rows.select("row", "doc_id", "n_paragraphs", "line.position", grams(F.col("line.text")).alias("grams"))
@@ -188,7 +234,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     size = [len(grams_of(t)) for _, t in ALL_TEMPLATES]
     likeness = F.greatest(*(F.when(F.col("at") == FAMILIES.index(f) + 1, F.col(f"t{k}") / F.least(F.col("n"), F.lit(size[k]))).otherwise(0.0) for k, (f, _) in enumerate(ALL_TEMPLATES)))
     p = F.col("best") / F.col("all")
-    sure = F.col("position").isNotNull() & (F.col("n") > 0) & (p >= model.least)
+    unknown = F.element_at("e", UNKNOWN + 1)
+    sure = F.col("position").isNotNull() & (F.col("n") > 0) & (p >= model.least) & (F.col("best") > unknown)
     similarity = F.when(sure, likeness)
     name = F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("at").cast("int"))
     return sums.select(*keys, F.when(sure, name).alias("family"), F.when(F.col("position").isNotNull(), p).alias("probability"), similarity.alias("similarity"), F.coalesce(similarity >= CONFIRM, F.lit(False)).alias("confirmed"))

@@ -143,7 +143,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     order = [F.col("part"), F.col("copy"), F.col("doc_id").desc_nulls_last(), F.col("text")]
 
     def run(batches):
-        last, names = None, [x.split()[0] for x in FINGERPRINTS.split(", ")]
+        last, head, names = None, None, [x.split()[0] for x in FINGERPRINTS.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
         def row(one, two):
             text = edited(one[3].decode(), two[3].decode()).encode()
@@ -158,10 +159,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     out.append(row(last, now))
                 elif last and not last[1]:
                     raise RuntimeError("a part without the first document of the next one")
-                last = now
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], names)
-        if last and not last[1]:  # only where every doc_id is null: the last document has no next one but itself
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row(last, last)], names)
+                last, head = now, head or now
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
+        if last and not last[1]:  # only where every doc_id is null, so that there is one part: the first document follows the last
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(last, head), types, strict=True)], names)
 
     return rows.sortWithinPartitions(*order).mapInArrow(run, FINGERPRINTS)
 

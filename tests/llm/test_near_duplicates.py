@@ -115,3 +115,20 @@ def test_minhash_estimates_jaccard():
     assert abs(np.mean(errors)) < 0.015 and np.mean(np.abs(errors)) < 0.04
     assert minhash.likeness(b"", b"") == 1.0 and minhash.likeness(b"", minhash.fingerprint(b"x")) == 0.0
     assert minhash.fingerprint(b"one two") == minhash.fingerprint(b"ONE  two\n")
+
+
+def test_minhash_without_any_doc_id(spark):
+    """All documents follow each other by text, and the first follows the last."""
+    import hashlib
+
+    texts = ["b two words", "a", None, "c " * 50]
+    table = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(3)
+    order = sorted(t or "" for t in texts)
+    want = []
+    for k, text in enumerate(order):
+        half = len(text) // 2
+        want.append(hashlib.sha256((text[: len(text) - half] + order[(k + 1) % len(order)][:half]).encode()).hexdigest())
+    got = minhash.fingerprint_documents(table).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+    one = minhash.fingerprint_documents(table.filter("text = 'a'")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0

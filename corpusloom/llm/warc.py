@@ -6,13 +6,15 @@ to one record and validates version line, header fields, lengths and digests.
 
 Cases: null html is an empty payload; null url leaves WARC-Target-URI out; a null page_id is never the
 response that others refer to when some other page has the payload; rows that repeat a page_id with an
-equal payload are the same page and are written alike; an empty table makes no archive. Other columns
+equal payload are the same page and are written alike; an empty table makes no archive; a URL is written and
+read as it stands, but for line breaks and white space at its ends, which become %XX. Other columns
 of the pages are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 65536, 16384
 #: An archive is closed once its frames take so many bytes.
 ARCHIVE_BYTES = 2 << 20
 CRLF = b"\r\n"
+#: What would break a header line, or be stripped from its ends: written as %XX. All other characters of a URL stay as they are.
+LINE_BREAK = re.compile(r"[\r\n]|^\s|\s$")
 ARCHIVES = "name string, content binary"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
 
@@ -85,7 +89,7 @@ def make_record(page_id, url, payload: bytes, digest: str, refers_to, date: str)
     block = http + payload if refers_to is None else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe="%:/?#[]@!$&'()*+,;=-._~"))
+        head.append("WARC-Target-URI: " + LINE_BREAK.sub(lambda m: urllib.parse.quote(m[0]), url))
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -122,7 +126,7 @@ def parse_record(raw: bytes) -> dict:
             raise ArchiveError("payload differs from its length or digest")
     elif fields["warc-type"] != "revisit" or payload or "warc-refers-to" not in fields or length is None:
         raise ArchiveError("not a response or a revisit")
-    return {"page_id": number(fields["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")), "url": urllib.parse.unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None, "payload": payload if fields["warc-type"] == "response" else None}
+    return {"page_id": number(fields["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")), "url": fields.get("warc-target-uri"), "payload": payload if fields["warc-type"] == "response" else None}
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:

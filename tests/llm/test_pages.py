@@ -74,3 +74,46 @@ def test_broken_archives_are_refused():
         list(warc.read_archive(warc.dictionary_frame(b"") + warc.compressor(b"").compress(record.replace(b"payload\r\n\r\n", b"paylaod\r\n\r\n"))))
     with pytest.raises(warc.ArchiveError):
         warc.parse_record(record[:-4])
+
+
+def site(k, own):
+    """Pages of one host: furniture without any name that says so, and an article without its element."""
+    return f"<html><body><div class='x{k}'><p>Home News Contact</p></div><div class='box'><p>Ad number {k % 3}</p></div><div class='y'><p>{own}</p></div><div class='z'>Our terms</div></body></html>"
+
+
+def test_the_tree_decides_without_names(spark):
+    """Menu and footer go since all pages share them; the same pages on hosts of one page each keep everything."""
+    rows = [(k, f"http://shared.org/{k}", site(k, f"Story {k} of its own")) for k in range(30)] + [(100 + k, f"http://h{k}.org/", site(k, f"Story {k} of its own")) for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(pages).collect()}
+    assert all("Home News Contact" not in got[k] and "Our terms" not in got[k] and f"Story {k} of its own" in got[k] for k in range(30))
+    assert all("Home News Contact" in got[100 + k] and "Our terms" in got[100 + k] for k in range(3))
+
+
+def test_what_declares_itself_goes_whatever_its_words(spark):
+    """Menus and sidebars go on hosts that repeat them, on hosts where each page has its own, and on hosts of one page."""
+    page = "<html><body><nav><a>Menu {}</a></nav><div class='sidebar'><p>{}</p></div><article><p>Text {}</p></article><div class='teaser'><p>Read this too</p></div></body></html>"
+    rows = [(k, f"http://own.org/{k}", page.format(k, f"Unlike any other {k}", k)) for k in range(20)] + [(50 + k, f"http://same.org/{k}", page.format(0, "Ad", k)) for k in range(20)] + [(90, "http://one.org/", page.format(1, "x", 90))]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"Text {k}" and got[50 + k] == f"Text {k}" for k in range(20)) and got[90] == "Text 90"
+
+
+def test_entropy_against_a_plain_count():
+    """Importance of the nodes of a hand-made host; a branch with one important node stays."""
+    nodes = {"": (8, 1, 0.0, None), "/a": (8, 1, 0.0, 0.0), "/b": (8, 1, 0.0, None), "/b/c": (8, 1, 0.0, 1.0), "/b/d": (8, 1, 0.0, 0.1), "/nav": (8, 1, 0.0, 0.05), "/nav/li": (8, 1, 0.0, 0.14)}
+    x = sitetree.importance(nodes)
+    assert x["/a"] == 0 and x["/b/c"] == 1 and abs(x["/b"] - 0.9 * 0.55) < 1e-9
+    assert sitetree.low_paths(nodes) == ["/a", "/b/d", "/nav"]
+    assert sitetree.low_paths(nodes, least=9) == []
+
+
+def test_long_class_names_stay_apart():
+    a, b = "c" * 60 + "left", "c" * 60 + "right"
+    assert sitetree.label("div", f" class='{a}'", False)[0] != sitetree.label("div", f" class='{b}'", False)[0]
+
+
+def test_urls_are_read_as_they_were_written(spark):
+    urls = ["http://h/a%20b?q=%2F", "http://h/ä b", "http://h/%", " http://h/\r\nX: y "]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.url for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert [got[i] for i in range(3)] == urls[:3] and got[3] == "%20http://h/%0D%0AX: y%20"

@@ -112,15 +112,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str]):
     return spark.sparkContext.broadcast(model)
 
 
-def classified(docs: DataFrame, model, domains: int) -> DataFrame:
-    """The documents with `_tokens` and a posterior `_p0`, `_p1`, ... for each domain."""
-    fields = docs.schema
+def classified(docs: DataFrame, model, domains: int, text: bool) -> DataFrame:
+    """The documents, with their texts or without, with `_tokens` and a posterior `_p0`, `_p1`, ... for each domain."""
+    fields = T.StructType([f for f in docs.schema.fields if text or f.name != "text"])
 
     def run(batches):
         for batch in batches:
             found = [model.value.posterior(t) for t in bytes_of(batch.column(batch.schema.get_field_index("text")))]
             p = np.array([f[1] for f in found], np.float64).reshape(-1, domains)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.int64()), *(pa.array(p[:, k]) for k in range(domains))], [*fields.names, "_tokens", *(f"_p{k}" for k in range(domains))])
+            yield pa.RecordBatch.from_arrays([*batch.select(fields.names).columns, pa.array([f[0] for f in found], pa.int64()), *(pa.array(p[:, k]) for k in range(domains))], [*fields.names, "_tokens", *(f"_p{k}" for k in range(domains))])
 
     extra = [T.StructField("_tokens", T.LongType()), *(T.StructField(f"_p{k}", T.DoubleType()) for k in range(domains))]
     return docs.mapInArrow(run, T.StructType([*fields.fields, *extra]))
@@ -161,23 +161,22 @@ def solve(mass: DataFrame, targets: np.ndarray, most: int = STEPS, tolerance: fl
     return best_steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents with n_tokens, a posterior p_<domain> for each domain, rate, and copies (the rate, rounded by a draw)."""
+def mixed(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, text: bool = True) -> DataFrame:
+    """The documents, with their texts or without, with n_tokens, a posterior p_<domain> for each domain, rate, and copies (the rate, rounded by a draw)."""
     names = list(domains)
-    made = {"n_tokens", "rate", "copies", "_tokens", "_rate", *(f"p_{d}" for d in names), *(f"_p{k}" for k in range(len(names)))}
-    docs = docs.select(*(c for c in docs.columns if c not in made))
+    made = {"n_tokens", "rate", "copies", "_tokens", "_rate", "_draw", *(f"p_{d}".lower() for d in names), *(f"_p{k}" for k in range(len(names)))}
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in made))
     model = fit_classifier(docs, labels, domains)
     share = np.array([targets[d] for d in names], np.float64)
-    mass = materialize(classified(docs.select("text"), model, len(names)).drop("text"), "mass")
-    steps = solve(mass, share / share.sum())
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rate = rate_of(steps)
-    found = classified(docs, model, len(names)).withColumn("_rate", rate)
-    copies = F.floor(F.col("_rate") + draw).cast("int")
-    return found.select(*docs.columns, F.col("_tokens").alias("n_tokens"), *(F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(names)), F.col("_rate").alias("rate"), copies.alias("copies"))
+    # each text is classified once: the steps read the few columns that they need, the result all of them
+    found = materialize(classified(docs.withColumn("_draw", draw), model, len(names), text), "mass")
+    found = found.withColumn("_rate", rate_of(solve(found, share / share.sum())))
+    copies = F.floor(F.col("_rate") + F.col("_draw")).cast("int")
+    return found.select(*(c for c in docs.columns if text or c != "text"), F.col("_tokens").alias("n_tokens"), *(F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(names)), F.col("_rate").alias("rate"), copies.alias("copies"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and mixing rate of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return mixed(docs, table(spark, sf_dir, "labels")).drop("text")
+    return mixed(docs, table(spark, sf_dir, "labels"), text=False)

@@ -31,6 +31,8 @@ POSITIVES, NEGATIVES = 1500, 3000
 BUCKETS, SIZE, FILTERS, WIDTHS, EPOCHS = 1 << 16, 12, 12, (1, 2, 3), 6
 #: Parts of the labelled rows, each scored for calibration by a network fitted on the others; logits are counted in bins of 1 / BIN up to LIMIT.
 FOLDS, BIN, LIMIT = 4, 64, 50
+#: Hashes that tell labelled doc_ids before their texts are scored: a fixed number, which says nothing about any label.
+SPOTS = 1 << 24
 #: Logit of a text without words.
 WORDLESS = -4.0
 #: Words that are convolved at once.
@@ -268,10 +270,19 @@ def train(sample: list[tuple[int, str, int]], aside: int | None = None) -> Netwo
 
 
 def logit_counts(docs: DataFrame, labels: DataFrame, kept, nets) -> list[tuple[int, int, int, int]]:
-    """(language, bin, texts, toxic texts) over all labelled texts that have words, each scored by the network of its fold; `kept` is a condition on doc_id."""
+    """(language, bin, texts, toxic texts) over all labelled texts that have words, each scored by the network of its fold; `kept` is a condition on doc_id.
+
+    A bit map of SPOTS hashes of labelled doc_ids tells which texts may be labelled, so that most others aren't scored; the join decides.
+    """
+    own, spot = labelled(labels, kept), F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS)).cast("int").alias("spot")
+    taken = np.zeros(SPOTS, bool)
+    taken[own.select(spot).distinct().toArrow().column(0).to_numpy()] = True
+    taken = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
     def run(batches):
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((taken.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             ids, texts = (batch.column(i).to_pylist() for i in range(2))
             languages, bins = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
             parts = np.array([fold(i) for i in ids], np.int64)
@@ -289,7 +300,7 @@ def logit_counts(docs: DataFrame, labels: DataFrame, kept, nets) -> list[tuple[i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.int32()), pa.array(bins, pa.int32())], ["doc_id", "language", "bin"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & kept)
-    found = texts.mapInArrow(run, "doc_id bigint, language int, bin int").filter("language >= 0").join(labelled(labels, kept), "doc_id")
+    found = texts.select("doc_id", "text", spot).mapInArrow(run, "doc_id bigint, language int, bin int").filter("language >= 0").join(own, "doc_id")
     return [tuple(r) for r in found.groupBy("language", "bin").agg(F.count(F.lit(1)), F.sum("toxic")).collect()]
 
 

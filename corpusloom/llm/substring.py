@@ -211,9 +211,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     one = F.min(F.struct("row", "first", "windows")).alias("one")
     distinct = every.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), one)
     known = distinct.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).filter(F.col("all") > 1)
-    both = materialize(distinct.join(known, "anchor").select("anchor", "body", "copies", "one.*", "kinds"), "repeated", slim=True)
+    both = materialize(distinct.join(known, "anchor").select("anchor", "body", "copies", "one.*", "kinds"), "repeated")
     wanted = both.select("anchor", "body", "copies", "row", "first", "windows", (F.col("kinds") > HOT).alias("hot"))
-    seen = materialize(search_shards(wanted, docs, length), "masks", slim=True)
+    seen = materialize(search_shards(wanted, docs, length), "masks")
     keyed = lambda df: df.withColumn("segment", F.xxhash64("anchor", "body"))
     left = keyed(every).select("segment", F.col("anchor").alias("a"), F.col("body").alias("b"), "row", "first")
     joined = salted_left_join(left, keyed(seen), "segment", hot_keys(left, "segment", 256), spread=F.col("row"))

@@ -164,10 +164,12 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(gram, w0.., t0..): weights by class, and 1 for each template that has the gram."""
+        """(gram, w0.., t0..): weights by class, none for n-grams without a key word, and 1 for each template that has the gram."""
         has = [set(grams_of(t)) for _, t in ALL_TEMPLATES]
+        every = dict.fromkeys([*self.grams, *(g for _, t in ALL_TEMPLATES for g in grams_of(t))])
+        weight = lambda g: self.weights[self.grams[g]] if g in self.grams else np.zeros(UNKNOWN + 1)
         names = [f"w{k}" for k in range(UNKNOWN + 1)] + [f"t{k}" for k in range(len(has))]
-        rows = [{"gram": g} | dict(zip(names, [*map(float, self.weights[k]), *(int(g in h) for h in has)], strict=True)) for g, k in self.grams.items()]
+        rows = [{"gram": g} | dict(zip(names, [*map(float, weight(g)), *(int(g in h) for h in has)], strict=True)) for g in every]
         schema = "array<struct<gram:string," + ",".join(f"{n}:{'double' if n[0] == 'w' else 'int'}" for n in names) + ">>"
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import LABELLED_SPAN, SPAN
-from .text import let
+from .text import SQL_WHITE, let, sql_word_count
 
 EMPTY = f"cast(array() as array<{SPAN}>)"
 
@@ -90,6 +90,29 @@ def bio(offsets, spans) -> Column:
     return let(let(spans, states), lambda state: F.transform(state, lambda x, i: F.when(x == -1, -100).when(x == 0, 0).when(follows(state, i), 2).otherwise(1)))
 
 
+def word_runs(text, spans) -> Column:
+    """Merged spans inside a text as runs of the words that they touch: (start, end) in words from 0, half open, merged.
+
+    Words are runs of characters other than SQL_WHITE. They are counted before and in each span; no offsets are made.
+    """
+    cut = lambda s: (s["start"] > 0) & F.substring(text, s["start"], F.lit(2)).rlike(f"^[^{SQL_WHITE}]{{2}}")  # noqa: E731  the span starts within a word
+    first = lambda s: sql_word_count(F.substring(text, F.lit(1), s["start"])) - cut(s).cast("int")
+    pairs = F.transform(spans, lambda s: F.struct(first(s).alias("start"), sql_word_count(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("n")))
+    return merge(F.transform(F.filter(pairs, lambda r: r["n"] > 0), lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"]).alias("end"))))
+
+
+def run_labels(runs, n) -> Column:
+    """Labels of n words from merged runs of words, as `bio` gives them: 0 outside, 1 the first of a run, 2 the next ones."""
+    times = lambda label, k: F.array_repeat(F.lit(label), k)
+
+    def of(own):
+        before = lambda i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        parts = F.transform(own, lambda r, i: F.concat(times(0, r["start"] - before(i)), F.array(F.lit(1)), times(2, r["end"] - r["start"] - 1)))
+        return F.concat(F.flatten(parts), times(0, n - before(F.size(own))))
+
+    return let(runs, of)
+
+
 def window_bounds(offsets, labels) -> Column:
     """First and last character of a window's tokens that aren't special."""
     real = F.filter(F.arrays_zip(offsets.alias("o"), labels.alias("l")), lambda x: x["l"] != -100)

@@ -13,6 +13,9 @@ from . import patterns as P
 #: Characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
+#: Characters that `\s` of the oracles matches.
+SQL_WHITE = "\t\n\x0c\r "
+
 
 def let(value, use) -> Column:
     """use(x) with x evaluated once, however often it occurs."""
@@ -65,6 +68,11 @@ def words(c) -> Column:
     return F.filter(F.split(blank(c), r"(?U)\s+"), lambda x: x != "")
 
 
+def sql_word_count(c) -> Column:
+    """How many runs of characters other than SQL_WHITE a text has; nothing but the runs of one text is held."""
+    return F.size(F.array_remove(F.split(blank(c), f"[{SQL_WHITE}]+"), ""))
+
+
 def lines(c) -> Column:
     return F.split(blank(c), "\n")
 

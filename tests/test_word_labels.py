@@ -51,3 +51,10 @@ def test_bio_labels_hold_no_offsets(spark, tables):
     got, want = both(spark, tables, "bio_labels")
     assert got == want and len(got) > 900
     assert not python_nodes(catalogue.QUERIES["bio_labels"](spark, tables))
+
+
+def test_class_weights_hold_no_offsets(spark, tables):
+    got, want = both(spark, tables, "class_weights")
+    assert got == want and len(got) == 3
+    assert both(spark, tables, "window_patterns")[0] == both(spark, tables, "window_patterns")[1]
+    assert not python_nodes(catalogue.QUERIES["class_weights"](spark, tables))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +166,73 @@ def cross_validated(df: DataFrame, key: str, fit, label: str = "label", folds: i
     return every.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
 
+def fold_terms(rows: DataFrame, folds: int, sizes: list[int], terms: int, min_df: float, max_df: float) -> list[dict[str, float]]:
+    """Of each fold: the words and pairs that a text_model of the other folds keeps, with their IDF. Of rows (_fold, _terms); equally frequent terms go by name.
+
+    All terms are counted once, by fold; what a fold's model sees is the sum less the fold's own.
+    """
+    ordered = F.sort_array("_terms")
+    marked = let(ordered, lambda own: F.transform(own, lambda x, i: F.struct(x.alias("term"), (~F.get(own, i - 1).eqNullSafe(x)).cast("int").alias("first"))))
+    one = rows.select("_fold", F.inline(marked))
+    of = [F.col("_fold") == k for k in range(folds)]
+    sums = one.groupBy("term").agg(*(F.count(F.when(of[k], 1)).alias(f"t{k}") for k in range(folds)), *(F.coalesce(F.sum(F.when(of[k], F.col("first"))), F.lit(0)).alias(f"d{k}") for k in range(folds)))
+    total = lambda x: sum((F.col(f"{x}{j}") for j in range(folds)), F.lit(0))
+    known = sums.withColumns({"t": total("t"), "d": total("d")}).filter(F.col("d") >= (min_df if min_df >= 1 else 0)).persist()
+    picked = None
+    for k in range(folds):
+        n = sum(sizes) - sizes[k]
+        own = known.select(F.lit(k).alias("k"), "term", (F.col("t") - F.col(f"t{k}")).alias("t"), (F.col("d") - F.col(f"d{k}")).alias("d"))
+        own = own.filter((F.col("d") >= (min_df if min_df >= 1 else min_df * n)) & (F.col("d") <= (max_df if max_df >= 1 else max_df * n)) & (F.col("d") > 0))
+        for pair in (False, True):
+            part = own.filter(F.col("term").contains(" ") == F.lit(pair)).orderBy(F.desc("t"), "term").limit(terms)
+            picked = part if picked is None else picked.unionByName(part)
+    out: list[dict[str, float]] = [{} for _ in range(folds)]
+    for r in picked.collect():
+        out[r.k][r.term] = math.log((sum(sizes) - sizes[r.k] + 1) / (r.d + 1))
+    known.unpersist()
+    return out
+
+
+def cross_validated_text(df: DataFrame, key: str, text: str = "text", label: str = "label", folds: int = 5, seed: int = 42, terms: int = 5000, min_df: float = 5.0, max_df: float = 0.9, reg: float = 0.1, numbers: tuple[str, ...] = (), stop: tuple[str, ...] = ()) -> DataFrame:
+    """cross_validated with text_model, (fold, n, accuracy), where texts are cut and counted once for all folds.
+
+    Rows hold counts of the terms of any fold's vocabulary; a term that a fold's model lacks has weight 0 in it.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
+    from pyspark.ml.linalg import Vectors
+
+    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    whole = df.select(fold.alias("_fold"), F.col(label).alias("_label"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *numbers)
+    whole = (whole.na.fill(0, list(numbers)) if numbers else whole).persist()
+    counts = {(r[0], r[1]): r[2] for r in whole.groupBy("_fold", "_label").count().collect()}
+    sizes = [sum(n for (k, _), n in counts.items() if k == j) for j in range(folds)]
+    cut = PipelineModel([RegexTokenizer(inputCol="_text", outputCol="_a", pattern=r"[^\p{L}\p{N}]+"), StopWordsRemover(inputCol="_a", outputCol="_w", stopWords=list(stop)), NGram(n=2, inputCol="_w", outputCol="_b")])
+    rows = cut.transform(whole).withColumn("_terms", F.concat("_w", "_b")).select("_fold", "_label", "_terms", *numbers)
+    known = fold_terms(rows, folds, sizes, terms, min_df, max_df)
+    every = sorted(set().union(*known))
+    counted = CountVectorizerModel.from_vocabulary(every, "_terms", "_c").transform(rows) if every else rows.withColumn("_c", F.lit(None))
+    counted = counted.drop("_terms").persist()
+    judged = []
+    for k in (k for k in range(folds) if sizes[k]):
+        own = [(y, n) for (j, y), n in counts.items() if j != k]
+        by = {y: sum(n for z, n in own if z == y) for y, _ in own}
+        weight = F.lit(1.0)
+        for y, n in by.items():
+            weight = F.when(F.col("_label") == y, sum(by.values()) / (len(by) * n)).otherwise(weight)
+        stages = [ElementwiseProduct(inputCol="_c", outputCol="_v", scalingVec=Vectors.dense([known[k].get(t, 0.0) for t in every])), Normalizer(inputCol="_v", outputCol="_t")]
+        if numbers:
+            stages += [VectorAssembler(inputCols=list(numbers), outputCol="_n"), StandardScaler(inputCol="_n", outputCol="_s", withMean=True)]
+        stages += [VectorAssembler(inputCols=["_t", "_s"] if numbers else ["_t"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", regParam=reg, maxIter=50)]
+        model = Pipeline(stages=stages).fit(counted.filter(F.col("_fold") != k).withColumn("_weight", weight))
+        hits = model.transform(counted.filter(F.col("_fold") == k)).agg(F.count(F.lit(1)), F.round(F.avg((F.col("prediction") == F.col("_label")).cast("int")), 6)).first()
+        judged.append((k, *hits))
+    counted.unpersist()
+    whole.unpersist()
+    return df.sparkSession.createDataFrame(judged, "fold int, n bigint, accuracy double")
+
+
 def forest_importance(df: DataFrame, columns: list[str], label: str = "label", trees: int = 100, seed: int = 42) -> DataFrame:
     """(feature, importance, place) of numeric columns in a random forest, the most important first."""
     from pyspark.ml.classification import RandomForestClassifier

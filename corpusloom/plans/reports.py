@@ -385,7 +385,7 @@ def feature_importance(spark, d):
 @query()
 def cross_validation(spark, d):
     """Accuracy of the text model in each of five folds."""
-    return E.cross_validated(labelled_texts(spark, d), "doc_id", lambda train: E.text_model(train, numbers=tuple(CORR), stop=STOP))
+    return E.cross_validated_text(labelled_texts(spark, d), "doc_id", numbers=tuple(CORR), stop=STOP)
 
 
 @query()

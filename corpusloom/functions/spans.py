@@ -113,6 +113,12 @@ def run_labels(runs, n) -> Column:
     return let(runs, of)
 
 
+def run_counts(runs, n) -> Column:
+    """struct(o, b, i): how often `run_labels` of the same runs has 0, 1 and 2, by arithmetic alone."""
+    whole = lambda x: x.cast("bigint")
+    return let(runs, lambda own: F.struct(whole(n - total(own)).alias("o"), whole(F.size(own)).alias("b"), whole(total(own) - F.size(own)).alias("i")))
+
+
 def window_bounds(offsets, labels) -> Column:
     """First and last character of a window's tokens that aren't special."""
     real = F.filter(F.arrays_zip(offsets.alias("o"), labels.alias("l")), lambda x: x["l"] != -100)

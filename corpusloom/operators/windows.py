@@ -71,6 +71,13 @@ def label_frequency(df: DataFrame, labels: str = "labels") -> DataFrame:
     return df.select(F.explode(labels).alias("label")).filter("label <> -100").groupBy("label").count()
 
 
+def run_frequency(df: DataFrame, counts: str = "counts") -> DataFrame:
+    """label_frequency of rows that hold struct(o, b, i), the counts of their labels 0, 1 and 2: no row a label is made; labels that never occur have no row."""
+    sums = df.agg(*(F.sum(f"{counts}.{x}").alias(x) for x in "obi"))
+    rows = F.array(*(F.struct(F.lit(k).alias("label"), F.col(x).alias("count")) for k, x in enumerate("obi")))
+    return sums.select(F.inline(rows)).filter("count > 0")
+
+
 def class_weights(counts: DataFrame, beta: float = 0.9999, low: float = 0.25, high: float = 4.0) -> DataFrame:
     """Effective-number weights of labels, scaled to mean 1 and clipped."""
     raw = counts.withColumn("w", (1 - beta) / (1 - F.pow(F.lit(beta), F.col("count"))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import schemas
 from corpusloom.functions import spans as S
 from corpusloom.functions import text as X
-from corpusloom.operators import evaluation
+from corpusloom.operators import evaluation, windows
 from corpusloom.plans import catalogue
 
 #: White space of all kinds, of which the oracles' `\s` matches five; characters beyond the first plane.
@@ -62,6 +62,21 @@ def test_class_weights_hold_no_offsets(spark, tables):
     assert not python_nodes(catalogue.QUERIES["class_weights"](spark, tables))
 
 
+def test_class_weights_make_no_labels(spark, tables, tmp_path):
+    plan = catalogue.QUERIES["class_weights"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(" not in plan and "array_repeat(" not in plan
+    df = spark.read.parquet(f"{tables}/documents.parquet").withColumn("spans", F.expr(f"cast(array((0, 1), (3, 9), (8, 20)) as array<{schemas.SPAN}>)"))
+    runs, n = S.word_runs(F.col("text"), S.merge(F.col("spans"))), X.sql_word_count(F.col("text"))
+    made = windows.label_frequency(df.select(S.run_labels(runs, n).alias("labels")))
+    counted = windows.run_frequency(df.select(S.run_counts(runs, n).alias("counts")))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, made.collect())) and counted.count() == 3
+    assert counted.dtypes == made.dtypes
+    for k, texts in enumerate([[], [None, " "], ["one"]]):  # of three labels, those that occur
+        spark.createDataFrame([(3, t) for t in texts], "doc_id bigint, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got, want = both(spark, f"{tmp_path}/{k}", "class_weights")
+        assert got == want and len(got) == (k == 2)
+
+
 def test_entities_meet_within_their_row(spark, tables):
     rng = random.Random(3)
     rows = [(k, [rng.choice([0, 1, 2]) for _ in range(k % 30)], [rng.choice([0, 1, 2]) for _ in range(k % 30)]) for k in range(200)]

@@ -48,12 +48,14 @@ def keep_last(df: DataFrame, key: str, stamp: str, order: str) -> DataFrame:
     return keep_first(df, key, [F.col(stamp).desc_nulls_last(), F.col(order).desc()])
 
 
-def reindex(df: DataFrame, order: str, name: str = "id", ranges: int = RANGES) -> DataFrame:
+def reindex(df: DataFrame, order: str, name: str = "id", ranges: int = RANGES, bucket: int | None = None) -> DataFrame:
     """Numbers 1..n in the order of a numeric column, without one task for all rows; rows without a value come last.
 
     Rows are numbered within ranges of the column, cut at its quantiles; the ranges' sizes are added up from a
-    table of one row a range.
+    table of one row a range. With `bucket`, a range has about so many rows, two to `ranges` ranges in all.
     """
+    if bucket is not None:
+        ranges = max(2, min(ranges, -(-df.count() // bucket)))
     ranged = df.withColumn("_range", range_of(F.col(order).cast("double"), cuts(df, order, ranges)))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -164,6 +164,15 @@ def test_reindex_crosses_ranges(spark):
     assert [r.id for r in corpus.reindex(df, "k", bucket=50).orderBy("k").collect()] == list(range(1, 1001))
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 5000])
+def test_reindex_buckets_keep_every_row(spark, bucket):
+    df = spark.createDataFrame([(float(k % 50),) for k in range(300)] + [(None,)] * 3 + [(float("nan"),), (float("inf"),)], "k double")
+    rows = corpus.reindex(df, "k", bucket=bucket).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 306)) and [r.k for r in rows[:300]] == sorted(float(k % 50) for k in range(300))
+    assert rows[300].k == float("inf") and all(r.k is None for r in rows[302:])
+    assert corpus.reindex(df.limit(0), "k", bucket=bucket).collect() == []
+
+
 def test_normalized_rows(spark):
     df = spark.createDataFrame([("a, b", None, "abc", "posted 2021-02-03")], "author string, year long, text string, published_at string")
     r = corpus.normalize_rows(df).first()
